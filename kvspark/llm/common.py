@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -108,7 +108,7 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, list]:
     """Words of each text as (offsets, flat dictionary-encoded array); empty strings at either end may occur."""
     if texts.type != pa.string():
         texts = texts.cast(pa.string())
-    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), pattern=r"[ \t\n\x0b\f\r]+")
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # the six characters above
     base = lists.offsets[0].as_py()
     flat = lists.values.slice(base, lists.offsets[-1].as_py() - base)
     return pc.subtract(lists.offsets, base), flat.dictionary_encode()
@@ -125,3 +125,22 @@ def ship_code(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root))
     spark.sparkContext.addPyFile(str(target))
     spark.sparkContext._kvspark_sent = True
+
+
+def valid_texts(texts: pa.Array) -> pa.Array:
+    """The same texts; bytes that are no UTF-8 become replacement characters."""
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        return pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], pa.Array], most: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text ``keep`` marks: one pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", most):
+            yield batch.filter(keep(valid_texts(batch.column("text"))))
+
+    return docs.mapInArrow(run, docs.schema)

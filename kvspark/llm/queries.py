@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_orc
+from . import ftrl, gam, packing, simhash, token_orc
 from .common import ship_code, table
 from .tokens import default_vocabulary
 
@@ -25,10 +25,20 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokenized(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=1)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_packing": op5_packing,
     "op6_token_orc": op6_token_orc,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
 }
 
 _SQL: dict[str, str] = {}
