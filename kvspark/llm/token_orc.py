@@ -34,7 +34,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, strip
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, at = encoder(vocabulary), 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 6 << 20):
             ids, offsets = to_ids(batch.column("text"))
             n = len(offsets) - 1
             ids = np.insert(ids, offsets[1:], end_id).astype(np.int32)
@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, strip
     (
         source.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(bloom_fpp)).option("orc.create.index", "true")
-        .option("orc.row.index.stride", str(row_group)).option("orc.stripe.size", str(stripe_bytes)).option("orc.compress", "ZSTD").orc(path)
+        .option("orc.row.index.stride", str(row_group)).option("orc.stripe.size", str(stripe_bytes)).option("orc.compress", "SNAPPY").orc(path)
     )
 
 
