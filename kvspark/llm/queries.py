@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ftrl, gam, packing, simhash, token_orc
+from . import chat, ftrl, gam, lines, omh, packing, simhash, token_orc
 from .common import ship_code, table
 from .tokens import default_vocabulary
 
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.neighbour_report(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=0, capacity=2048)
 
@@ -25,6 +29,10 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokenized(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=1)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_digest(spark, table(spark, sf_dir, "conversations"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,15 +41,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.rate(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_order_minhash": op3_order_minhash,
     "op5_packing": op5_packing,
     "op6_token_orc": op6_token_orc,
+    "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_line_rules": op10_line_rules,
 }
 
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {"op7_chat": chat.SQL, "op10_line_rules": lines.SQL}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
