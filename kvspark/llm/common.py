@@ -47,7 +47,9 @@ def _quietly_remove(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/kvspark-{uuid.uuid4().hex}/{name}"
+    """A new full address in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/kvspark-{uuid.uuid4().hex}/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

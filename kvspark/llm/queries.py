@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ftrl, gam, lines, omh, packing, simhash, token_orc
+from . import chat, ftrl, gam, lines, omh, packing, simhash, spm, token_orc, warc
 from .common import ship_code, table
 from .tokens import default_vocabulary
 
@@ -17,10 +17,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.round_trip(table(spark, sf_dir, "documents"), spm.default_model())
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.neighbour_report(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=0, capacity=2048)
 
@@ -47,7 +55,9 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_order_minhash": op3_order_minhash,
+    "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_token_orc": op6_token_orc,
     "op7_chat": op7_chat,
@@ -56,7 +66,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_rules": op10_line_rules,
 }
 
-_SQL: dict[str, str] = {"op7_chat": chat.SQL, "op10_line_rules": lines.SQL}
+_SQL: dict[str, str] = {"op4_warc": warc.SQL, "op7_chat": chat.SQL, "op10_line_rules": lines.SQL}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
