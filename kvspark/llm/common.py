@@ -82,6 +82,15 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.make_valid_utf8(F.col(name)), F.lit(""))
 
 
+def held_back(value: Column) -> Column:
+    """``value``, behind a fence for the optimizer: filters on it are not copied into the expressions it is made of.
+
+    Long chains of array expressions refer to each step several times; pushing a filter through them would copy every
+    step into every reference. A projection that is not deterministic is not pushed through.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``n`` (a null id counts as remainder 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))

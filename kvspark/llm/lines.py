@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, SPACES
+from .common import SPACE_RE, SPACES, held_back
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -35,7 +35,8 @@ BOILERPLATE = (
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE_RE), lambda w: w != "")
+    bare = F.btrim(text, F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RE))
 
 
 def positions_mask(n: Column) -> Column:
@@ -85,7 +86,7 @@ def rate(docs: DataFrame, text: str = "text") -> DataFrame:
     q, m = F.col("q"), F.size("q")
     gaps = F.zip_with(F.slice(q, F.lit(1), F.greatest(m - 1, F.lit(0))), F.slice(q, F.lit(2), F.greatest(m - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(WINDOW).cast("long")))
     covered = F.when(m > 0, F.aggregate(gaps, F.lit(WINDOW).cast("long"), lambda a, g: a + g)).otherwise(F.lit(0).cast("long"))
-    df = df.select("doc_id", "t", "lines", F.col("n").cast("long").alias("n_words"), covered.alias("n_repeat_words"), F.filter("lines", line_passes).alias("good"))
+    df = df.select("doc_id", "t", "lines", F.col("n").cast("long").alias("n_words"), held_back(covered).alias("n_repeat_words"), F.filter("lines", line_passes).alias("good"))
     chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     t = F.col("t")
     df = df.select(

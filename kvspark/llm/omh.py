@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stage
+from .common import held_back, shuffle_width, stage, unstage
 from .lines import beside, positions_mask, words_of
 
 K = 2
@@ -31,7 +31,7 @@ SHOWN_BITS = 24
 
 
 def sketches(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Append ``out``: an array of longs, sketch number and tuple hash of each filled sketch, in order."""
+    """Append ``out``: an array of integers, sketch number and tuple hash of each filled sketch, in order."""
     held = df.columns
     keep = lambda *cols: [*held, *cols]
     df = df.withColumn("_h", F.transform(words_of(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)))
@@ -44,13 +44,17 @@ def sketches(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_s", beside(k, mask))
     s = F.col("_s")
     top = lambda x: x.bitwiseAND(F.bitwise_not(mask))
-    first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (top(F.get(s, i)) != top(F.get(s, i - 1))))
-    df = df.withColumn("_first", F.when(F.size(s) > 0, first).otherwise(F.array().cast("array<int>")))
-    first = F.col("_first")
-    # occurrence number o of each k-mer within its run of equals; its hash takes the place of the k-mer's
+    # a k-mer's hash and its occurrence number give its element; the element's hash keeps the position beside it
     numbered = lambda x, o: F.xxhash64(top(x), o).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(x.bitwiseAND(mask))
-    runs = F.transform(first, lambda a, j: F.transform(F.slice(s, a + 1, F.coalesce(F.get(first, j + 1), F.size(s)) - a), lambda x, o: numbered(x, o)))
-    df = df.select(*keep("_k", "_mask", F.sort_array(F.flatten(runs)).alias("_g")))
+    again = lambda i: (i > 0) & (top(F.get(s, i)) == top(F.get(s, i - 1)))
+    df = df.withColumn("_r", F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), again)).otherwise(F.array().cast("array<int>")))
+    r = F.col("_r")  # places of second and later occurrences: those of one k-mer are consecutive, those of two are not
+    opens_run = lambda j: (j == 0) | (F.get(r, j - 1) != F.get(r, j) - 1)
+    df = df.withColumn("_first", F.when(F.size(r) > 0, F.filter(F.sequence(F.lit(0), F.size(r) - 1), opens_run)).otherwise(F.array().cast("array<int>")))
+    first = F.col("_first")
+    later = F.transform(first, lambda a, j: F.transform(F.slice(r, a + 1, F.coalesce(F.get(first, j + 1), F.size(r)) - a), lambda i, o: numbered(F.coalesce(F.get(s, i), F.lit(0).cast("long")), o + 1)))
+    once = F.transform(F.filter(s, lambda x, i: ~again(i)), lambda x: numbered(x, F.lit(0)))
+    df = df.select(*keep("_k", "_mask", F.sort_array(F.concat(once, F.flatten(later))).alias("_g")))
     g = F.col("_g")
     bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
     df = df.withColumn("_c", F.filter(g, lambda x, i: (i < KEEP) | (bin_of(F.get(g, i - KEEP)) != bin_of(x))))
@@ -64,9 +68,9 @@ def sketches(df: DataFrame, text: str, out: str) -> DataFrame:
         alone = b.isNull() | (bin_of(a) != bin_of(b))
         pa, pb = at(a), at(b)
         told = F.when(alone, F.xxhash64(F.get(k, pa))).otherwise(F.xxhash64(F.get(k, F.least(pa, pb)), F.get(k, F.greatest(pa, pb))))
-        return F.shiftleft(bin_of(a), SHOWN_BITS).bitwiseOR(F.shiftrightunsigned(told, 64 - SHOWN_BITS))
+        return F.shiftleft(bin_of(a), SHOWN_BITS).bitwiseOR(F.shiftrightunsigned(told, 64 - SHOWN_BITS)).cast("int")
 
-    return df.select(*keep(F.transform("_o", component).alias(out)))
+    return df.select(*keep(held_back(F.transform("_o", component)).alias(out)))
 
 
 def shown(sketch: Column) -> Column:
@@ -96,22 +100,23 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 def neighbour_report(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, its edited text's, and how alike it is to that and to the next document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    own = stage(sketches(base.select("doc_id", "text", F.length("text").cast("long").alias("n_chars")), "text", "sketch").drop("text"), "own")
-    facts = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_chars").alias("n_chars"))
-    one = base
-    if facts.where("rows > 1").limit(1).count():  # the smallest text stands for a repeated id
-        one = base.groupBy("doc_id").agg(F.min("text").alias("text"))
-        own = stage(sketches(one.select("doc_id", "text", F.length("text").cast("long").alias("n_chars")), "text", "sketch").drop("text"), "own")
-    # how many code points each document lends to the one before it
-    lends = own.select("doc_id", "n_chars").join(next_ids(own.select("doc_id")), "doc_id").select("doc_id", "next_id", F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
-    lends = stage(lends, "lends")
-    lent = lends.join(one.withColumnRenamed("doc_id", "lender"), F.col("next_id") == F.col("lender")).select("doc_id", "next_id", "half", F.substr("text", F.lit(1), F.col("half")).alias("tail"))
-    edited = lent.join(one, "doc_id").select("doc_id", "next_id", F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("half")), "tail").alias("edited"))
-    edited = sketches(edited.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch").drop("edited")
-    edited = stage(edited, "edited")
-    other = own.select(F.col("doc_id").alias("next_id"), F.col("sketch").alias("next_sketch"))
-    out = own.join(edited, "doc_id").join(other, "next_id")
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    sizes = stage(one.select("doc_id", F.length("text").cast("long").alias("n_chars")), "sizes")
+    if sizes.groupBy("doc_id").count().where("count > 1").limit(1).count():  # the smallest text stands for a repeated id
+        one = one.groupBy("doc_id").agg(F.min("text").alias("text"))
+        unstage(sizes)
+        sizes = stage(one.select("doc_id", F.length("text").cast("long").alias("n_chars")), "sizes")
+    # how many code points each document borrows of the next
+    loans = stage(sizes.join(next_ids(sizes.select("doc_id")), "doc_id").select("doc_id", "next_id", "n_chars", F.floor(F.col("n_chars") / 2).cast("int").alias("half")), "loans")
+    # both joins read one exchange of the texts; sketches are made behind it, as one with lambdas in it is not reused
+    lender, owner = one.alias("lender"), one.alias("owner")
+    lent = loans.join(lender, F.col("next_id") == F.col("lender.doc_id")).select(loans.doc_id, "n_chars", "half", F.col("lender.text").alias("text"))
+    lent = sketches(lent, "text", "next_sketch").withColumn("tail", F.substr("text", F.lit(1), F.col("half"))).drop("text")
+    both = lent.alias("lent").join(owner, F.col("lent.doc_id") == F.col("owner.doc_id"))
+    edited = F.concat(F.substr("owner.text", F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), "tail")
+    both = both.select(F.col("lent.doc_id").alias("doc_id"), "n_chars", "next_sketch", F.col("owner.text").alias("text"), edited.alias("edited"))
+    both = sketches(both, "text", "sketch").drop("text")
+    out = sketches(both.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("sketch")).alias("fingerprint"), shown(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
