@@ -114,11 +114,18 @@ def local_bins(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
 
 
 def _merge(rows: pa.Table, capacity: int, serial: int) -> pa.RecordBatch:
-    """Best-fit of whole bins: their contents follow one another, moved by where their bin goes."""
+    """Best-fit of whole bins: their contents follow one another, moved by where their bin goes.
+
+    Where best-fit of the bins' pieces, each for itself, needs fewer bins than that, it is taken instead.
+    """
     rows = rows.combine_chunks()
     lists = rows.column("items").chunk(0)
     counts = np.diff(lists.offsets.to_numpy())
     bins, shift = best_fit(rows.column("fill").to_numpy().astype(np.int64), capacity)
+    pieces = lists.flatten()
+    loose = {name: pieces.field(i).fill_null(0).to_numpy() for i, name in enumerate(("doc_id", "piece", "start", "length", "ids_crc32"))}
+    if best_fit(loose["length"].astype(np.int64), capacity)[0].max() < bins.max():
+        return _as_bins(loose | {"no_id": pieces.field(0).is_null().to_numpy(zero_copy_only=False)}, capacity, serial)
     order = np.lexsort((shift, bins))
     items = lists.take(pa.array(order)).flatten()
     moved = np.repeat(shift[order], counts[order])
