@@ -98,7 +98,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, skip: tuple[int, int]
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", skip[0]) != skip[1]))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(chosen, "doc_id")
+    return docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", skip: tuple[int, int] = (5, 0), most: int = SAMPLE) -> dict:
