@@ -20,6 +20,7 @@ import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,7 @@ class KVTable:
         elif lost := [r["path"] for r in self.state["runs"] if not self.files.exists(r["path"])]:
             raise CorruptedData(f"the manifest lists runs that are gone: {lost}")
         self.memtable = Memtable(self.config.memtable_max_size)
+        self._kept: DataFrame | None = None
         self._replay()
 
     @classmethod
@@ -278,6 +280,20 @@ class KVTable:
             layers.append(self.spark.createDataFrame(self.memtable.ordered(), RECORD_SCHEMA))
         return union_layers(*layers)
 
+    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+        """Keep the live snapshot of now in the executors' memory; ``cached`` tells how, ``unpersist`` lets it go."""
+        self.unpersist()
+        self._kept = self.snapshot().persist(level)
+        return self._kept
+
+    def cached(self) -> StorageLevel | None:
+        return None if self._kept is None else self._kept.storageLevel
+
+    def unpersist(self) -> None:
+        if self._kept is not None:
+            self._kept.unpersist()
+        self._kept = None
+
     def _merged(self, runs: list[dict]) -> bool:
         """One layer holds one version a key: no merge, hence no shuffle."""
         return len(runs) + bool(self.memtable.rows) <= 1

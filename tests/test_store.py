@@ -245,3 +245,24 @@ def test_memtable():
     assert m.get("a")[3] and m.get("zz") is None
     m.insert(put_row("c", b"x" * 10, 4))
     assert m.should_flush() and m.clear() == 3 and m.size_bytes == 0
+
+
+def test_persisted_snapshot(spark, table):
+    table.put("a", "1")
+    table.flush()
+    kept = table.persist()
+    table.put("a", "2")
+    assert table.cached().useMemory and [bytes(r.value) for r in kept.collect()] == [b"1"] and table.get("a") == b"2"
+    table.unpersist()
+    assert table.cached() is None
+
+
+def test_command_line_entry(spark, tmp_path, monkeypatch, capsys):
+    import io
+    import sys
+
+    from kvspark.__main__ import main
+
+    monkeypatch.setattr(sys, "stdin", io.StringIO("SET a 1\nGET a\nQUIT\n"))
+    main(["repl", str(tmp_path / "cli")])
+    assert "'a' = '1'" in capsys.readouterr().out
