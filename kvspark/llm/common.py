@@ -82,6 +82,19 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.make_valid_utf8(F.col(name)), F.lit(""))
 
 
+def smallest_by_hash(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """At most ``most`` rows: those with the smallest hash of ``column``.
+
+    Rows beyond one and a half times the hash range that should hold ``most`` are dropped where they are, so that what
+    meets in the final top-k is bounded, whatever the number of partitions.
+    """
+    n = rows.count()
+    hashed = F.xxhash64(column)
+    if n > 2 * most:
+        rows = rows.where(hashed < F.lit(int(-(2**63) + 2**64 * 1.5 * most / n)).cast("long"))
+    return rows.orderBy(hashed, column).limit(most)
+
+
 def held_back(value: Column) -> Column:
     """``value``, behind a fence for the optimizer: filters on it are not copied into the expressions it is made of.
 
@@ -147,7 +160,7 @@ def valid_texts(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
 
 
-def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], pa.Array], most: int = 4 << 20) -> DataFrame:
+def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], pa.Array], most: int = 2 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, whose text ``keep`` marks: one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

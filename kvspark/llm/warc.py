@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_width, slices, stage
+from .common import scratch_path, shuffle_width, slices, smallest_by_hash, stage
 
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
@@ -184,8 +184,11 @@ def page_of(fields: dict[str, str], block: bytes) -> dict:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    rows = pages.select(F.col("page_id"), F.col("html").cast("binary").alias("payload")).where("payload is not null and page_id is not null")
-    rows = rows.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).select("page_id", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).collect()
+    """A dictionary from the SAMPLE pages with the smallest hash of their id; ids are chosen before any page is read."""
+    known = pages.where("page_id is not null").select("page_id").distinct()
+    chosen = F.broadcast(smallest_by_hash(known, "page_id", SAMPLE))
+    rows = pages.join(chosen, "page_id", "left_semi").select("page_id", F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("payload")).where("payload is not null")
+    rows = rows.dropDuplicates(["page_id"]).orderBy("page_id").collect()
     samples = [http_block(len(r.payload), bytes(r.payload)) for r in rows if len(r.payload) > 64]
     if len(samples) < 20:
         return b""
