@@ -166,5 +166,6 @@ def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], pa.Array], most: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", most):
             yield batch.filter(keep(valid_texts(batch.column("text"))))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)

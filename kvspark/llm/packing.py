@@ -100,7 +100,7 @@ def local_bins(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
         def flush() -> pa.RecordBatch:
             return _as_bins({k: np.concatenate([h[k] for h in held]) for k in held[0]}, capacity, serial)
 
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             held.append(_pieces(batch, vocabulary, end_id, capacity))
             count += len(held[-1]["piece"])
             if count >= LOCAL_PIECES:

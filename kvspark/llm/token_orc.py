@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import scratch_path, shuffle_width, slices, text_or_empty
 from .tokens import encoder
 
+#: A scan that does nothing else has the memory for a larger memo of words.
+MEMO = 250_000
 SCHEMA = "doc_id long, file_start long, n_tokens long, ids array<int>"
 
 
@@ -33,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, strip
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, at = encoder(vocabulary), 0
+        to_ids, at = encoder(vocabulary, MEMO), 0
         for batch in slices(batches, "text", 6 << 20):
             ids, offsets = to_ids(batch.column("text"))
             n = len(offsets) - 1

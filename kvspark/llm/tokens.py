@@ -17,9 +17,9 @@ from tokenizers import Tokenizer
 
 from .common import split_words
 
-#: Distinct words, and distinct parts of words, that one Python worker remembers between batches. When there are
-#: more, those of the last batch stay.
-MEMO = 300_000
+#: Distinct words that one Python worker remembers between batches, and twice as many parts of words, at about 200 bytes
+#: each. When there are more words, those of the last batch stay.
+MEMO = 100_000
 _PROBES = (
     "a b", " a\tb\n", "It's 12 o'clock,\n\n\"quoted\"  text.", "É́a  ßë\r\nÑu\x0b中文 字\f!!", "x|y a|| |b 3.14 's ' s",
     "İΣ ΣΣ é  n  q", "#*$%& *** a$$$ b&&&", "<|im_end|> <b>x</b> <| |>", "🙂🙂 👍🏽 a‍b",
@@ -36,7 +36,8 @@ def default_vocabulary() -> str:
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -73,7 +74,7 @@ class WordEncoder:
         return ids + (known(marks) or self._part(marks)) if marks else ids
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        if len(self.parts) > MEMO:
+        if len(self.parts) > 2 * self.most:
             self.parts = {}
         out: list[bytes | None] = [None] * len(words)
         if self.bytes_of is not None:
@@ -86,6 +87,7 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids as uint32, offsets as int64 with one entry more than texts). A null text has no ids."""
+        pa.default_memory_pool().release_unused()  # what the batches before have freed
         if self.by_word:
             return self._by_word(texts)
         encoded = self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
@@ -104,7 +106,7 @@ class WordEncoder:
             new = [distinct[i] for i in missing]
             for i, ids in zip(missing, self._encode_words(new), strict=True):
                 found[i] = ids
-            if len(self.words) + len(missing) > MEMO:
+            if len(self.words) + len(missing) > self.most:
                 self.words = {w: ids for w, ids in zip(distinct, found, strict=True) if len(w) <= 64}
             else:
                 self.words.update((w, found[i]) for i, w in zip(missing, new, strict=True) if len(w) <= 64)
@@ -119,7 +121,7 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = MEMO) -> WordEncoder:
     """One encoder a Python worker, kept while the worker is reused."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return WordEncoder(path, most)
