@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep_rows, slices, split_words, text_or_empty
+from .common import crc_mod, keep_rows, slices, smallest_by_hash, split_words, text_or_empty
 
 BITS = 22
 #: Labelled rows that are learnt from at most: those with the smallest hash of their id.
@@ -97,7 +97,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, skip: tuple[int, int]
     """At most ``most`` labelled documents (doc_id, text, y), outside the fold that is held out."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", skip[0]) != skip[1]))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = smallest_by_hash(known, "doc_id", most)
     return docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
 
 
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = scorer(sent.value)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(of(batch.column("text")))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
