@@ -329,3 +329,32 @@ def test_pipeline(spark, sf):
     kept = {r.doc_id for r in now.select("doc_id").collect()}
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept
+
+
+# -- shared helpers ----------------------------------------------------------------------------------------------------
+
+
+def test_smallest_by_hash(spark):
+    from kvspark.llm.common import smallest_by_hash
+
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect()]
+    assert [r.doc_id for r in smallest_by_hash(ids, "doc_id", 100).collect()] == want
+    assert smallest_by_hash(ids, "doc_id", 10_000).count() == 5000 and smallest_by_hash(ids.where("false"), "doc_id", 5).count() == 0
+
+
+def test_filters_do_not_blow_up_array_chains(odd_docs):
+    assert lines.rate(odd_docs).where("kept or n_repeat_words > 3 or base_failed").count() >= 10
+    assert omh.neighbour_report(odd_docs).where("near_edited > 2").count() == 0
+
+
+def test_staged_tables_are_in_the_shared_folder(spark, odd_docs):
+    from kvspark.llm.common import shared_root, stage, unstage
+
+    table = stage(odd_docs.select("doc_id"), "some")
+    where = table.inputFiles()[0]
+    root = shared_root(spark).removeprefix("file:").lstrip("/")
+    assert root in where and table.count() == odd_docs.count()
+    unstage(table)
+    with pytest.raises(Exception, match="FILE|exist"):
+        spark.read.parquet(where)

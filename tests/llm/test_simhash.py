@@ -55,9 +55,8 @@ def test_given_table_against_brute_force(spark, sf):
 
 
 @pytest.mark.parametrize("block", [4096, 5])
-def test_links_of_clouds(spark, block, monkeypatch):
+def test_links_of_clouds(spark, block):
     """Dense clouds of fingerprints, with buckets cut into many blocks: the same components as all pairs give."""
-    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(3)
     prints = set()
     for _ in range(6):
@@ -70,7 +69,7 @@ def test_links_of_clouds(spark, block, monkeypatch):
     prints |= {rng.getrandbits(64) for _ in range(200)} | {0, 1, 2**64 - 1}
     table = dict(enumerate(sorted(prints)))
     nodes = spark.createDataFrame([(i, f.to_bytes(8, "big")) for i, f in table.items()], "node long, fp binary").repartition(5)
-    links = simhash.near_edges(nodes, simhash.Plan())
+    links = simhash.near_edges(nodes, simhash.Plan(block=block))
     found = {r.node: r.component for r in components(links).collect()}
     assert {i: found.get(i, i) for i in table} == brute_components(table)
     assert links.count() < 40 * 240  # forests, not all pairs
@@ -136,3 +135,28 @@ def test_rows_without_id_stay_and_repeats_go(odd_docs, odd_rows):
     got = [r.doc_id for r in simhash.without_near_copies(odd_docs).collect()]
     assert got.count(None) == 2 and got.count(7) == 0 and got.count(6) == 1 and 8 not in got
     assert sum(i in got for i in (0, 1, 2)) == 1  # texts without a word are one group
+
+
+@pytest.mark.parametrize("variants", [False, True])
+@pytest.mark.parametrize("cut", [1, 3, 50, 5000])
+def test_streamed_runs(variants, cut):
+    """Keys that may hold a new link pass with all their rows, however the stream is cut and however long they are."""
+    import pyarrow as pa
+
+    rng = random.Random(cut)
+    rows = sorted(((rng.randrange(120), i, (not variants) or rng.random() < 0.5, rng.randrange(3)) for i in range(600)), key=lambda r: (r[0], not r[2]))
+    groups = {k: list(g) for k, g in itertools.groupby(rows, key=lambda r: r[0])}
+    wanted = {r[:3] for g in groups.values() if len(g) > 1 and g[0][2] and len({r[3] for r in g}) > 1 and (not variants or not g[-1][2]) for r in g}
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("plain", pa.bool_()), ("part", pa.int64())])
+    stream = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + cut]), schema)], schema=schema) for i in range(0, len(rows), cut)]
+    stream.insert(1, stream[0].slice(0, 0))
+
+    def run(most):
+        out = [r for b in simhash._meeting(iter(stream), 2, variants, most) for r in zip(*(b.column(c).to_pylist() for c in ("key", "node", "plain", "block")))]
+        assert len({r[:2] for r in out}) == len(out)
+        for _, g in itertools.groupby(out, key=lambda r: r[0]):
+            assert [r[3] for r in g] == [i // 2 for i in range(len(list(groups[_])))]
+        return {r[:3] for r in out}
+
+    assert run(10_000) == wanted
+    assert wanted <= run(2) <= {r[:3] for r in rows}

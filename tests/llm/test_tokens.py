@@ -40,9 +40,8 @@ def test_word_encoder_has_parity(tokenizer):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
-def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO", 50)
-    encode = tokens.WordEncoder(tokens.default_vocabulary())
+def test_memo_is_bounded():
+    encode = tokens.WordEncoder(tokens.default_vocabulary(), 50)
     rng = random.Random(1)
     for _ in range(20):
         encode(pa.array([" ".join(str(rng.random()) for _ in range(30))]))
