@@ -8,7 +8,7 @@ plain key of the other; equal segments share the plain key. So an equality join
 pair meets once a segment. Rows that share a key are verified by the distance of the whole fingerprints.
 
 Scale: equal fingerprints are one class before anything is indexed, so a group of exact copies costs one row, whatever
-its size. Keys are dealt by hash and streamed in sorted order; a key with more than ``BLOCK`` rows is cut into blocks,
+its size. Keys are dealt by hash and streamed in sorted order; a key with more than ``Plan.block`` rows is cut into blocks,
 and every pair of blocks is a task's work of its own, so no group is held whole anywhere. From each group only a
 spanning forest of its links is kept, never its pairs, which leaves components unchanged.
 
@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 from .common import shuffle_width, slices, stage, unstage
 from .components import components
 
-#: Rows of one key that a task compares at once.
-BLOCK = 4096
 _ONES = np.uint64(0x0101010101010101)
 _U64 = np.uint64
 
@@ -43,7 +41,8 @@ class Plan:
     """How texts become fingerprints and which fingerprints are linked.
 
     shingle: words a shingle. bits: length of a fingerprint, a multiple of 64. distance: differing bits that still
-    link. segment_bits, segments: the cut that is indexed (from bit 0). once: count a repeated shingle once.
+    link. segment_bits, segments: the cut that is indexed (from bit 0). once: count a repeated shingle once. block: rows
+    of one key that a task compares at once.
     """
 
     shingle: int = 3
@@ -52,6 +51,7 @@ class Plan:
     segment_bits: int = 32
     segments: int = 2
     once: bool = False
+    block: int = 4096
 
     @property
     def exact(self) -> bool:
@@ -135,59 +135,85 @@ def _matrix(column: pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(_U64).reshape(-1, words)
 
 
-def signatures(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """(key, node, plain) of every segment and every one-wildcard variant of the nodes' fingerprints."""
+def signatures(nodes: DataFrame, plan: Plan, segments: range, variants: bool) -> DataFrame:
+    """(key, node, plain, part) of the given segments of the nodes' fingerprints, and of their one-wildcard variants."""
     words, width = plan.bits // 64, plan.segment_bits
     cut = _U64((1 << width) - 1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                node, fp = part.column("node").to_numpy(), _matrix(part.column("fp"), words)
-                keys, ids, plain = [], [], []
-                for s in range(plan.segments):
+            for at in range(0, batch.num_rows, 400):
+                rows = batch.slice(at, 400)
+                node, part, fp = rows.column("node").to_numpy(), rows.column("part").to_numpy(), _matrix(rows.column("fp"), words)
+                keys, ids, parts, plain = [], [], [], []
+                for s in segments:
                     word, shift = divmod(s * width, 64)
                     value = fp[:, word] >> _U64(shift)
                     if shift + width > 64:
                         value = value | (fp[:, word + 1] << _U64(64 - shift))
                     value &= cut
                     tag = _U64(s) << _U64(width)
-                    keys.append(value | tag), ids.append(node), plain.append(np.ones(len(node), bool))
-                    for bit in range(width):
+                    keys.append(value | tag), ids.append(node), parts.append(part), plain.append(np.ones(len(node), bool))
+                    for bit in range(width if variants else 0):
                         has = ((value >> _U64(bit)) & _U64(1)).astype(bool)
-                        keys.append((value[has] & ~(_U64(1) << _U64(bit))) | tag), ids.append(node[has]), plain.append(np.zeros(int(has.sum()), bool))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(plain))], ["key", "node", "plain"])
+                        keys.append((value[has] & ~(_U64(1) << _U64(bit))) | tag), ids.append(node[has]), parts.append(part[has]), plain.append(np.zeros(int(has.sum()), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(plain)), pa.array(np.concatenate(parts))], ["key", "node", "plain", "part"])
 
-    return nodes.mapInArrow(make, "key long, node long, plain boolean")
+    return nodes.mapInArrow(make, "key long, node long, plain boolean, part long")
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and then plain first: those of keys with a plain row and another, with their block.
+#: Rows of one key that are held to see whether they are of one part; of longer runs all rows go on.
+HELD_ROWS = 1 << 20
 
-    Streams: of the rows before a batch it keeps the last key, its row count, and its first row while that is alone.
+
+def _met(key: np.ndarray, node: np.ndarray, plain: np.ndarray, place: np.ndarray, block: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(plain), pa.array(place // block)], ["key", "node", "plain", "block"])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], block: int, variants: bool, most: int = HELD_ROWS) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and then plain first: those of keys that may hold a link not known yet, with their block.
+
+    Such a key has a plain row and another (with ``variants``, a variant: plain rows have met before), and its rows are
+    of two parts at least: links within a part would join what is joined. Holds the rows of the open run only.
     """
-    last, count, good, alone = None, 0, False, None
+
+    def whole(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, node, plain, part = rows
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        good = (sizes > 1) & plain[starts] & (np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts))
+        if variants:
+            good &= ~plain[starts + sizes - 1]
+        keep = np.repeat(good, sizes)
+        return _met(key[keep], node[keep], plain[keep], (np.arange(len(key)) - np.repeat(starts, sizes))[keep], block)
+
+    held: list[np.ndarray] | None = None
+    open_key, goes, place = None, False, 0  # a run too long to hold: its rows go out (or not) as they come
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "plain", "part")]
+        if open_key is not None:
+            n = int(np.searchsorted(rows[0], open_key, side="right"))
+            if goes and n:
+                yield _met(*(r[:n] for r in rows[:3]), place + np.arange(n), block)
+            place += n
+            rows = [r[n:] for r in rows]
+            if len(rows[0]):
+                open_key = None
+        if not len(rows[0]):
             continue
-        key, node, plain = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "plain"))
-        new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
-        run = np.cumsum(new)  # 0: continues the last run of the batch before
-        starts = np.flatnonzero(new)
-        head = np.concatenate([[0], starts])[run]  # first row of a row's run in this batch
-        lead = np.concatenate([[0 if starts.size and starts[0] == 0 else count], np.zeros(len(starts), np.int64)])
-        place = np.arange(n) - head + lead[run]
-        run_good = np.concatenate([[good], plain[starts]])
-        size = np.bincount(run, minlength=len(starts) + 1) + lead
-        keep = run_good[run] & (size[run] > 1)
-        out = (key[keep], node[keep], plain[keep], place[keep] // BLOCK)
-        if alone is not None and run[0] == 0 and good:  # the run before has grown beyond its first row
-            out = tuple(np.concatenate([[a], b]) for a, b in zip((last, alone, True, 0), out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2].astype(bool)), pa.array(out[3].astype(np.int64))], ["key", "node", "plain", "block"])
-        last, good, count = key[-1], bool(run_good[-1]), int(size[-1])
-        alone = node[-1] if count == 1 else None
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+        if cut:
+            yield whole([r[:cut] for r in rows])
+        held = [r[cut:] for r in rows]
+        if len(held[0]) > most:
+            open_key, goes, place = held[0][0], bool(held[2][0]), len(held[0])
+            if goes:
+                yield _met(*held[:3], np.arange(place), block)
+            held = None
+    if held is not None:
+        yield whole(held)
 
 
 def forest(fp: np.ndarray, plain: np.ndarray, block: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -217,17 +243,38 @@ def forest(fp: np.ndarray, plain: np.ndarray, block: np.ndarray, distance: int)
 def near_edges(nodes: DataFrame, plan: Plan) -> DataFrame:
     """(u, v): links between nodes, enough of them to connect whatever is linked.
 
-    ``nodes``: node (long, unique) and fp (binary), a table that is cheap to read twice.
+    ``nodes``: node (long, unique) and fp (binary), a table that is cheap to read a few times. A few plain segments meet
+    first, then the other ones, then the variants; keys whose rows are of one part by then are not looked at again, so
+    a large group of near copies, which shares most of its keys, is compared under a few of them only.
     """
+    few, every = range(max(1, plan.segments // 6)), range(plan.segments)
+    rounds = [(few, False), (every[len(few) :], False), (every, True)]
+    parts, links = nodes.withColumn("part", F.col("node")), None
+    for i, (segments, variants) in enumerate(rounds):
+        if not len(segments):
+            continue
+        found = _verified(parts, plan, segments, variants)
+        if i:
+            unstage(parts)
+        links = found if links is None else links.unionByName(found)
+        if i < len(rounds) - 1:
+            joined = components(links)
+            parts = stage(nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("part")), "parts")
+    return links
+
+
+def _verified(nodes: DataFrame, plan: Plan, segments: range, variants: bool) -> DataFrame:
+    """Links found under the keys of one round, as a staged table: a spanning forest of each key's."""
     spark, words = nodes.sparkSession, plan.bits // 64
     width = shuffle_width(spark)
     order = [F.col("key"), F.col("plain").desc()]
-    met = stage(signatures(nodes, plan).repartition(width, "key").sortWithinPartitions(*order).mapInArrow(_meeting, "key long, node long, plain boolean, block long"), "met")
+    met = signatures(nodes, plan, segments, variants).repartition(width, "key").sortWithinPartitions(*order)
+    met = stage(met.mapInArrow(lambda batches: _meeting(batches, plan.block, variants), "key long, node long, plain boolean, block long"), "met")
     # keys of more than one block: every pair of blocks is compared on its own
     blocks = met.where("block > 0").groupBy("key").agg((F.max("block") + 1).alias("blocks"))
     dealt = met.join(blocks, "key", "left").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "plain")
-    full = dealt.join(nodes, "node").repartition(width, "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+    full = dealt.join(nodes.select("node", "fp"), "node").repartition(width, "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -289,17 +336,20 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     links = near_edges(classes.where("node is not null"), plan)
     found = components(links)
     named = stage(classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named")
-    unstage(classes, links)
+    unstage(classes)
     # both sides are written tables: adaptive execution splits the fingerprint of a large group of copies
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 
 #: For "five words, similarity 0.8 or more". Jaccard 0.8 of two shingle sets of one size is cosine 8/9, which differs in
-#: acos(8/9)/pi = 15.1 % of the bits: 155 of 1024. The pigeonhole cut for 155 bits would index segments too short to
-#: tell anything apart, so sixteen 24-bit segments are indexed: a pair at 0.8 meets in one of them with probability
-#: 0.87, at 0.9 with 0.99 (README has measured figures), and the whole fingerprint decides.
-SIMILAR = Plan(shingle=5, bits=1024, distance=155, segment_bits=24, segments=16, once=True)
+#: acos(8/9)/pi = 15.1 % of the bits: 155 of 1024, give or take 11.5. The cut is set 1.3 deviations higher, at 170, so
+#: that nine in ten pairs at exactly 0.8 pass; 170 bits are what 0.765 gives. The pigeonhole cut for that would index
+#: segments too short to tell anything apart, so thirty-six 28-bit segments are indexed: a pair at 0.8 meets in one of
+#: them with probability 0.89, at 0.85 with 0.96, at 0.9 with over 0.99 (README has measured figures), and the whole
+#: fingerprint decides. A document meets n * 36 * 29 / 2**28 others of n by chance: 0.7 of 170,000. For n far beyond
+#: that, take wider segments: 40 bits keep it below 30 for 10**10 documents, at a probability of 0.84 for pairs at 0.9.
+SIMILAR = Plan(shingle=5, bits=1024, distance=170, segment_bits=28, segments=36, once=True)
 
 
 def without_near_copies(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
@@ -309,7 +359,8 @@ def without_near_copies(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """
     found = stage(near_duplicates(docs, plan).select("doc_id", "component_id"), "found")
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
-    kept = docs.join(ids.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    # a merge join at every size: kept ids grow with the documents, so a broadcast would hold for small inputs only
+    kept = docs.join(ids.where("doc_id = component_id").select("doc_id").hint("merge"), "doc_id", "left_semi")
     if ids.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
