@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by deletion-variant signatures.
+"""SimHash near-duplicates by deletion-variant signatures, and near copies by exact Jaccard of shingle sets.
 
 A fingerprint is cut into so few segments that two linked fingerprints must, by the pigeonhole principle, agree in
 one segment but for at most one bit: ``k // 2 + 1`` segments for ``k`` bits (two of 32 bits for 64-bit fingerprints
@@ -12,6 +12,9 @@ its size. Keys are dealt by hash and streamed in sorted order; a key with more t
 and every pair of blocks is a task's work of its own, so no group is held whole anywhere. From each group only a
 spanning forest of its links is kept, never its pairs, which leaves components unchanged.
 
+Near copies (``without_near_copies``) are linked by the Jaccard of their sets of shingles, which no cut of fingerprint bits
+can tell: all pairs of 0.8 share a shingle of their prefixes (``prefix``), and each candidate is verified on the sets.
+
 Edge cases: a null text is empty; a text without a word has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle of the whole sequence; equal texts always share a class; rows without doc_id belong to
 the class of their fingerprint, whose component is named by the smallest doc_id present (null if there is none); an
@@ -341,26 +344,206 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: For "five words, similarity 0.8 or more": the exact Jaccard of the sets of five-word shingles (64-bit hashes). A cut of
+#: fingerprint bits cannot give that, so ``bits`` is only the length of the parity sketches below, which never reject a pair
+#: of 0.8, and nothing is indexed by segments.
+SIMILAR = Plan(shingle=5, bits=1024, segments=0, once=True)
+
+#: Documents, and shingles, that the list of common shingles is made of. The list decides cost, never results.
+SAMPLED_DOCS, COMMON_SHINGLES, COMMON_COUNT = 8_000, 100_000, 3
+
+
+def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(t or b"", size)) for t in batch.column("text").to_pylist()]
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(hashes.tobytes())
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 of n distinct hashes in an order that all documents share: common ones last.
+
+    Two sets with Jaccard 0.8 or more share at least 0.8 of the larger one, so their first shared hash is among these
+    of both (the prefix filter); that holds for any shared order.
+    """
+    last = np.zeros(len(hashes), bool)
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+    return np.concatenate([hashes[~last], hashes[last]])[: len(hashes) // 5 + 1]
+
+
+def parity(hashes: np.ndarray, bits: int) -> bytes:
+    """Per bit, whether an odd number of hashes falls on it: two sets differ in at least as many hashes as sketches in bits."""
+    odd = np.bincount((hashes >> _U64(17)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def common_shingles(docs: DataFrame, plan: Plan) -> np.ndarray:
+    """Sorted hashes of shingles that several documents of a sample hold."""
+    every = -(-max(1, docs.count()) // SAMPLED_DOCS)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_sets(batch, plan.shingle)).view(np.int64))], ["key"])
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.col("text").cast("binary").alias("text"))
+    counts = sample.mapInArrow(shingles, "key long").groupBy("key").count().where(F.col("count") >= COMMON_COUNT)
+    rows = counts.orderBy(F.desc("count"), "key").limit(COMMON_SHINGLES).select("key").collect()
+    return np.sort(np.array([r.key for r in rows], np.int64).view(_U64))
+
+
+def shingle_prints(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(doc_id, digest, n, odd, keys) of every row: digest, size, parity sketch and prefix of its set of shingles."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, plan))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            each = _sets(batch, plan.shingle)
+            keys = [prefix(h, common.value).view(np.int64) for h in each]
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([_digest(h) for h in each], pa.binary()), pa.array([len(h) for h in each], pa.int64()), pa.array([parity(h, plan.bits) for h in each], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
+                ["doc_id", "digest", "n", "odd", "keys"],
+            )
 
-#: For "five words, similarity 0.8 or more". Jaccard 0.8 of two shingle sets of one size is cosine 8/9, which differs in
-#: acos(8/9)/pi = 15.1 % of the bits: 155 of 1024, give or take 11.5. The cut is set 1.3 deviations higher, at 170, so
-#: that nine in ten pairs at exactly 0.8 pass; 170 bits are what 0.765 gives. The pigeonhole cut for that would index
-#: segments too short to tell anything apart, so thirty-six 28-bit segments are indexed: a pair at 0.8 meets in one of
-#: them with probability 0.89, at 0.85 with 0.96, at 0.9 with over 0.99 (README has measured figures), and the whole
-#: fingerprint decides. A document meets n * 36 * 29 / 2**28 others of n by chance: 0.7 of 170,000. For n far beyond
-#: that, take wider segments: 40 bits keep it below 30 for 10**10 documents, at a probability of 0.84 for pairs at 0.9.
-SIMILAR = Plan(shingle=5, bits=1024, distance=170, segment_bits=28, segments=36, once=True)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(prints, "doc_id long, digest binary, n long, odd binary, keys array<long>")
+
+
+def _shingles_of(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
+    """(node, n, shingles) of the wanted classes (node, doc_id, digest), hashed again from the text of that row."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            each = _sets(batch, plan.shingle)
+            good = np.array([_digest(h) == d for h, d in zip(each, batch.column("digest").to_pylist(), strict=True)])
+            each = [h for h, ok in zip(each, good, strict=True) if ok]
+            ends = np.concatenate([[0], np.cumsum([len(h) for h in each])]).astype(np.int32)
+            flat = np.concatenate([*each, np.empty(0, _U64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(good)), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "n", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(hashed, "node long, n long, shingles array<long>")
+
+
+def _possible(n: np.ndarray, odd: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether Jaccard 0.8 is possible by size and by parity sketch (no pair of 0.8 or more fails)."""
+    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=-1, dtype=np.int64)
+    return (5 * low >= 4 * high) & (9 * apart <= low + high)
+
+
+def _candidates(full: DataFrame, words: int) -> DataFrame:
+    """(u, v) of rows (key, a, b, block, node, part, n, odd) that share a key, are of two parts and may be alike."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in (*batches, None):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None:
+                held.append(batch)
+            if not held:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            starts = _run_starts(rows)
+            cut = int(starts[-1]) if batch is not None else rows.num_rows
+            held = rows.slice(cut).to_batches() if batch is not None else []
+            if cut:
+                yield from _paired(rows.slice(0, cut), words)
+
+    return full.mapInArrow(pairs, "u long, v long").distinct()
+
+
+def _paired(rows: pa.Table, words: int) -> Iterator[pa.RecordBatch]:
+    node, part, n, block, a, b = (rows.column(c).to_numpy() for c in ("node", "part", "n", "block", "a", "b"))
+    odd, starts = _matrix(rows.column("odd"), words), _run_starts(rows)
+    out, held = [], 0
+    for s, e in zip(starts.tolist(), np.append(starts[1:], rows.num_rows).tolist(), strict=True):
+        for x in range(s, e - 1):
+            y = np.arange(x + 1, e)
+            y = y[(part[y] != part[x]) & ((a[s] == b[s]) | (block[y] != block[x]))]
+            y = y[_possible(n, odd, np.full(len(y), x), y)]
+            if len(y):
+                out.append((np.maximum(node[x], node[y]), np.minimum(node[x], node[y])))
+                held += len(y)
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["u", "v"])
+                out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["u", "v"])
+
+
+def _screened(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) that may be alike by size and by parity sketch."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if k := batch.num_rows:
+                n = np.concatenate([batch.column(c).to_numpy() for c in ("nu", "nv")])
+                odd = np.concatenate([_matrix(batch.column(c), words) for c in ("ou", "ov")])
+                yield batch.select(["u", "v"]).filter(pa.array(_possible(n, odd, np.arange(k), np.arange(k, 2 * k))))
+
+    one, two = (classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "uv")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "ou", "ov").mapInArrow(screen, "u long, v long")
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (u, v) whose sets have Jaccard 0.8 or more, in whole numbers; a staged table. Only their texts move."""
+    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = stage(_shingles_of(docs, classes.join(met, "node", "left_semi").select("node", "doc_id", "digest"), plan), "sets")
+    one, two = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")) for c in "uv")
+    near = pairs.join(one, "u").join(two, "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    links = stage(near.where((5 * F.least("nu", "nv") >= 4 * F.greatest("nu", "nv")) & (9 * shared >= 4 * (F.col("nu") + F.col("nv")))).select("u", "v").distinct(), "links")
+    unstage(sets)
+    return links
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v): links of classes with Jaccard 0.8 or more, enough of them to connect whatever is linked.
+
+    All pairs of 0.8 share a prefix shingle. First each row of a key is held against the key's smallest node; then, in
+    keys whose rows are still of several parts, all pairs of two parts are, so a group of near copies costs its rows.
+    """
+    width, words = shuffle_width(docs.sparkSession), plan.bits // 64
+    rows = classes.select(F.explode("keys").alias("key"), "node", F.lit(True).alias("plain"), F.col("node").alias("part"))
+    met = rows.repartition(width, "key").sortWithinPartitions("key")
+    met = stage(met.mapInArrow(lambda batches: _meeting(batches, plan.block, False), "key long, node long, plain boolean, block long").drop("plain"), "met")
+    centres = met.groupBy("key").agg(F.min("node").alias("v"))
+    stars = met.join(centres, "key").where("node > v").select(F.col("node").alias("u"), "v").distinct()
+    stars = stage(_screened(stars, classes, words), "stars")
+    links = _alike(stars, docs, classes, plan)
+    parts = stage(classes.join(components(links), "node", "left").select("node", "n", "odd", F.coalesce("component", "node").alias("part")), "parts")
+    mixed = met.join(parts.select("node", "part"), "node").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), (F.max("block") + 1).alias("blocks"))
+    mixed = stage(mixed.where("low < high").select("key", "blocks"), "mixed")
+    # keys of more than one block: every pair of blocks is compared on its own
+    dealt = met.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node")
+    full = dealt.join(parts, "node").repartition(width, "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+    rest = stage(_candidates(full, words).join(stars, ["u", "v"], "left_anti"), "pairs")
+    more = _alike(rest, docs, classes, plan)
+    unstage(met, mixed, parts, stars, rest)
+    return links.unionByName(more)
 
 
 def without_near_copies(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all columns, but for one document (the smallest doc_id) of each near-duplicate group only.
 
-    Rows without a doc_id cannot be named and stay. Of rows that share a doc_id one stays.
+    Near duplicates have Jaccard 0.8 or more of their distinct shingles, exactly, or are linked by such documents. Rows
+    without a doc_id cannot be named and stay. Of rows that share a doc_id one stays.
     """
-    found = stage(near_duplicates(docs, plan).select("doc_id", "component_id"), "found")
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
+    prints = stage(shingle_prints(docs, plan), "prints")
+    # one class a set of shingles, numbered; classes of null ids only cannot be named and stay out
+    classes = prints.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "odd", "keys")))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = components(similar_links(docs, classes, plan))
+    named = stage(classes.select("node", "doc_id", "digest").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component_id")).agg(F.min("doc_id").alias("doc_id")), "named")
+    repeated = prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    unstage(prints, classes)
     # a merge join at every size: kept ids grow with the documents, so a broadcast would hold for small inputs only
-    kept = docs.join(ids.where("doc_id = component_id").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if ids.where("n > 1").limit(1).count():
+    kept = docs.join(named.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    if repeated:
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -160,3 +160,24 @@ def test_streamed_runs(variants, cut):
 
     assert run(10_000) == wanted
     assert wanted <= run(2) <= {r[:3] for r in rows}
+
+
+DOCS = "doc_id long, text string"
+
+
+def planted(rng, at, shape):
+    """Pairs of texts of 9k, ... own shingles that differ in their last k words: Jaccard (m - k) / (m + k) of m shingles."""
+    rows, pairs = [], []
+    for m, k in shape:
+        w = [f"w{rng.getrandbits(60):x}" for _ in range(m + 4 + k)]
+        rows += [(at, " ".join(w[: m + 4])), (at + 1, " ".join(w[: m + 4 - k] + w[m + 4 :]))]
+        pairs.append((at, at + 1))
+        at += 2
+    return rows, pairs
+
+
+def test_every_pair_of_similarity_from_08_is_found(spark):
+    """Also at exactly 0.8, where 36 segments of fingerprint bits met in about nine of ten."""
+    rows, pairs = planted(random.Random(21), 0, [(m * k, k) for m in (9, 10, 11, 12) for k in (1, 2, 3, 5, 8, 13, 20, 34) for _ in range(4)])
+    left = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    assert left == {a for a, _ in pairs}
