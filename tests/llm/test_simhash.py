@@ -1,3 +1,4 @@
+import dataclasses
 import itertools
 import random
 
@@ -190,3 +191,35 @@ def test_pairs_below_08_stay(spark):
     rows += [(1000, "one two three four"), (1001, "one two three five"), (1002, "one"), (1003, "two")]
     kept = simhash.without_near_copies(spark.createDataFrame(rows, DOCS).repartition(4))
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows]
+
+
+def brute_kept(rows):
+    """The smallest id of each component of pairs with five-word Jaccard 0.8 or more."""
+    sets = {i: shingles(t) if t.split() else set() for i, t in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if root[a] != root[b] and (10 * len(x & y) >= 8 * len(x | y)):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_kept_ids_against_brute_force(spark, monkeypatch):
+    """Both directions: pairs around 0.8, chains of edits, short texts, a passage that many texts share."""
+    rng = random.Random(23)
+    rows, _ = planted(rng, 0, [(m * k, k) for m in (6, 7, 8, 9, 10, 12) for k in (1, 2, 4, 9, 25)])
+    passage = [f"p{i}" for i in range(60)]
+    for n in (3, 10, 30, 200, 260, 300):
+        rows += [(1000 + 10 * n + i, " ".join(passage + [f"{rng.random()}" for _ in range(n)])) for i in range(8)]
+    chain = [f"c{i}" for i in range(120)]
+    for i in range(40):
+        rows.append((9000 + i, " ".join(chain)))
+        chain[rng.randrange(120)] = f"{rng.random()}"
+    rows += [(9500 + i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    rng.shuffle(rows)
+    docs, want = spark.createDataFrame(rows, DOCS).repartition(5), brute_kept(rows)
+    for plan in (simhash.SIMILAR, dataclasses.replace(simhash.SIMILAR, block=3)):
+        for sampled in (8_000, 1):
+            monkeypatch.setattr(simhash, "SAMPLED_DOCS", sampled)
+            assert {r.doc_id for r in simhash.without_near_copies(docs, plan).collect()} == want
