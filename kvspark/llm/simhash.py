@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shuffle_width, slices, stage, unstage
 from .components import components
@@ -532,18 +533,34 @@ def without_near_copies(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all columns, but for one document (the smallest doc_id) of each near-duplicate group only.
 
     Near duplicates have Jaccard 0.8 or more of their distinct shingles, exactly, or are linked by such documents. Rows
-    without a doc_id cannot be named and stay. Of rows that share a doc_id one stays.
+    without a doc_id cannot be named and stay. Rows that share a doc_id are told apart by their shingles.
     """
     prints = stage(shingle_prints(docs, plan), "prints")
     # one class a set of shingles, numbered; classes of null ids only cannot be named and stay out
     classes = prints.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "odd", "keys")))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     found = components(similar_links(docs, classes, plan))
-    named = stage(classes.select("node", "doc_id", "digest").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component_id")).agg(F.min("doc_id").alias("doc_id")), "named")
+    one = F.min(F.struct("doc_id", "digest")).alias("one")
+    named = stage(classes.select("node", "doc_id", "digest").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component_id")).agg(one).select("one.*"), "named")
     repeated = prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     unstage(prints, classes)
     # a merge join at every size: kept ids grow with the documents, so a broadcast would hold for small inputs only
-    kept = docs.join(named.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
+    if repeated:  # an id does not tell its rows apart: their sets of shingles do
+        mark = "_digest"
+        while mark in {c.lower() for c in docs.columns}:
+            mark += "_"
+        kept = _marked(docs, plan, mark).join(named.withColumnRenamed("digest", mark).hint("merge"), ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    else:
+        kept = docs.join(named.select("doc_id").hint("merge"), "doc_id", "left_semi")
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _marked(docs: DataFrame, plan: Plan, name: str) -> DataFrame:
+    """``docs`` with the digest of each row's set of shingles."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            texts = pa.RecordBatch.from_arrays([batch.column("text").cast(pa.binary())], ["text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(h) for h in _sets(texts, plan.shingle)], pa.binary())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(digests, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))

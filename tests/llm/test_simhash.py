@@ -223,3 +223,12 @@ def test_kept_ids_against_brute_force(spark, monkeypatch):
         for sampled in (8_000, 1):
             monkeypatch.setattr(simhash, "SAMPLED_DOCS", sampled)
             assert {r.doc_id for r in simhash.without_near_copies(docs, plan).collect()} == want
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    """An id on two texts: the copy goes, the lone text stays; two lone texts of one id both stay."""
+    rng = random.Random(24)
+    a, b, c, d = (" ".join(f"{rng.random()}" for _ in range(50)) for _ in range(4))
+    rows = [(1, a), (5, a + " more"), (5, b), (6, c), (6, d), (6, d), (7, d)]
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([(1, a), (5, b), (6, c), (6, d)])
