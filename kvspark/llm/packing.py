@@ -90,7 +90,7 @@ def _pieces(batch: pa.RecordBatch, vocabulary: str, end_id: int, capacity: int)
 
 def _serial(round_no: int) -> int:
     """First number of a task's bins: rounds, and tasks in a round, have their own ranges."""
-    return (round_no << 56) + (TaskContext.get().partitionId() << 32)
+    return (round_no << 48) + (TaskContext.get().partitionId() << 28)
 
 
 def local_bins(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048
         merged = stage(_round(rest, groups, number, capacity), f"bins{number}")
         still = merged.where(~full).count()
         done.append(merged.where(full))
-        rest, shrunk, left = merged.where(~full), still < 0.98 * left, still
+        rest, shrunk, left = merged.where(~full), still < left, still
         if groups == 1 or (not shrunk and groups == -(-left // GROUP_BINS)):
             break
     out = rest
