@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by deletion-variant signatures, and near copies by exact Jaccard of shingle sets.
+"""SimHash near-duplicates by deletion-variant signatures.
 
 A fingerprint is cut into so few segments that two linked fingerprints must, by the pigeonhole principle, agree in
 one segment but for at most one bit: ``k // 2 + 1`` segments for ``k`` bits (two of 32 bits for 64-bit fingerprints
@@ -8,12 +8,13 @@ plain key of the other; equal segments share the plain key. So an equality join
 pair meets once a segment. Rows that share a key are verified by the distance of the whole fingerprints.
 
 Scale: equal fingerprints are one class before anything is indexed, so a group of exact copies costs one row, whatever
-its size. Keys are dealt by hash and streamed in sorted order; a key with more than ``Plan.block`` rows is cut into blocks,
-and every pair of blocks is a task's work of its own, so no group is held whole anywhere. From each group only a
-spanning forest of its links is kept, never its pairs, which leaves components unchanged.
+its size. Keys are dealt by hash (those that a sample shows to be hot, to several tasks) and streamed in sorted order. A
+key with more than ``Plan.block`` rows is cut once more, by deletion variants of the other bits, so its rows grow by a
+fixed factor and meet few others; a sub-key that is still larger is cut into blocks, and every pair of blocks is a task's
+work of its own. No group is held whole anywhere. From each group only a spanning forest of its links is kept, never its
+pairs, which leaves components unchanged.
 
-Near copies (``without_near_copies``) are linked by the Jaccard of their sets of shingles, which no cut of fingerprint bits
-can tell: all pairs of 0.8 share a shingle of their prefixes (``prefix``), and each candidate is verified on the sets.
+The same cut of whole sets of shingles, for a similarity of 0.8, is in ``near_copies``.
 
 Edge cases: a null text is empty; a text without a word has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle of the whole sequence; equal texts always share a class; rows without doc_id belong to
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,65 +167,107 @@ def signatures(nodes: DataFrame, plan: Plan, segments: range, variants: bool) ->
     return nodes.mapInArrow(make, "key long, node long, plain boolean, part long")
 
 
+#: Nodes of the sample that names hot keys, in how many of them those occur at least, and how many are named at most.
+SAMPLED, HOT_COUNT, MOST_HOT = 4_000, 32, 100_000
+#: Tasks that a hot key is dealt to.
+SALTS = 16
+
+
+def sampled(rows: DataFrame, by: Column, most: int = SAMPLED) -> DataFrame:
+    """About ``most`` rows, by a hash."""
+    every = -(-max(1, rows.count()) // most)
+    return rows.where(F.pmod(F.xxhash64(by), F.lit(every)) == 0)
+
+
+def hot_keys(rows: DataFrame, least: int = HOT_COUNT, most: int = MOST_HOT) -> np.ndarray:
+    """Sorted: at most ``most`` values of ``key`` that occur ``least`` times or more. They decide cost, never results."""
+    counts = rows.groupBy("key").count().where(F.col("count") >= least)
+    return np.sort(np.array([r.key for r in counts.orderBy(F.desc("count"), "key").limit(most).select("key").collect()], np.int64))
+
+
+def salts(key: np.ndarray, node: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """-1, but for hot keys one of ``SALTS`` numbers, by node: their rows are dealt to as many tasks."""
+    out = np.full(len(key), -1, np.int32)
+    if len(hot):
+        known = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        out[known] = (_mixed(node[known].astype(_U64), 4) % _U64(SALTS)).astype(np.int32)
+    return out
+
+
+def salted(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``rows`` (key, node, ...) with their salt."""
+    sent = rows.sparkSession.sparkContext.broadcast(hot)  # at most MOST_HOT keys
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            salt = salts(batch.column("key").to_numpy(), batch.column("node").to_numpy(), sent.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt)], [*batch.schema.names, "salt"])
+
+    return rows.mapInArrow(add, T.StructType([*rows.schema.fields, T.StructField("salt", T.IntegerType())])) if len(hot) else rows.withColumn("salt", F.lit(-1))
+
+
 #: Rows of one key that are held to see whether they are of one part; of longer runs all rows go on.
 HELD_ROWS = 1 << 20
 
 
-def _met(key: np.ndarray, node: np.ndarray, plain: np.ndarray, place: np.ndarray, block: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(plain), pa.array(place // block)], ["key", "node", "plain", "block"])
+def _met(key: np.ndarray, node: np.ndarray, plain: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(plain), pa.array(block)], ["key", "node", "plain", "block"])
 
 
 def _meeting(batches: Iterator[pa.RecordBatch], block: int, variants: bool, most: int = HELD_ROWS) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and then plain first: those of keys that may hold a link not known yet, with their block.
+    """Of rows sorted by key, salt and plain first: those of keys that may hold a link not known yet, with their block.
 
     Such a key has a plain row and another (with ``variants``, a variant: plain rows have met before), and its rows are
-    of two parts at least: links within a part would join what is joined. Holds the rows of the open run only.
+    of two parts at least: links within a part would join what is joined. Rows of salted keys all pass, in block 1, as
+    their partners may be elsewhere. Holds the rows of the open run only.
     """
 
     def whole(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, node, plain, part = rows
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, salt, node, plain, part = rows
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
         sizes = np.diff(np.append(starts, len(key)))
         good = (sizes > 1) & plain[starts] & (np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts))
         if variants:
             good &= ~plain[starts + sizes - 1]
-        keep = np.repeat(good, sizes)
-        return _met(key[keep], node[keep], plain[keep], (np.arange(len(key)) - np.repeat(starts, sizes))[keep], block)
+        dealt = salt[starts] >= 0
+        keep = np.repeat(good | dealt, sizes)
+        place = (np.arange(len(key)) - np.repeat(starts, sizes)) // block
+        return _met(key[keep], node[keep], plain[keep], np.where(salt >= 0, 1, place)[keep])
 
     held: list[np.ndarray] | None = None
-    open_key, goes, place = None, False, 0  # a run too long to hold: its rows go out (or not) as they come
+    run, goes, place = None, False, 0  # a run too long to hold: its rows go out (or not) as they come
     for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "plain", "part")]
-        if open_key is not None:
-            n = int(np.searchsorted(rows[0], open_key, side="right"))
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "node", "plain", "part")]
+        if run is not None:
+            n = int(((rows[0] == run[0]) & (rows[1] == run[1])).sum())
             if goes and n:
-                yield _met(*(r[:n] for r in rows[:3]), place + np.arange(n), block)
+                yield _met(rows[0][:n], rows[2][:n], rows[3][:n], (place + np.arange(n)) // block)
             place += n
             rows = [r[n:] for r in rows]
             if len(rows[0]):
-                open_key = None
+                run = None
         if not len(rows[0]):
             continue
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+        cut = len(rows[0]) - int(((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])).sum())
         if cut:
             yield whole([r[:cut] for r in rows])
         held = [r[cut:] for r in rows]
         if len(held[0]) > most:
-            open_key, goes, place = held[0][0], bool(held[2][0]), len(held[0])
+            run, goes, place = (held[0][0], held[1][0]), bool(held[3][0] or held[1][0] >= 0), len(held[0])
             if goes:
-                yield _met(*held[:3], np.arange(place), block)
+                yield _met(held[0], held[2], held[3], np.arange(place) // block)
             held = None
     if held is not None:
         yield whole(held)
 
 
-def forest(fp: np.ndarray, plain: np.ndarray, block: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def forest(fp: np.ndarray, flags: np.ndarray, block: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the rows, as row pairs, by breadth-first search.
 
-    Rows link if their fingerprints differ in ``distance`` bits or fewer and one of them is plain (two variants meet
-    under other keys). Of rows of two blocks, only those of different blocks are compared.
+    Rows link if their fingerprints differ in ``distance`` bits or fewer and each flag is set in one of them (two variants
+    meet under other keys). Of rows of two blocks, only those of different blocks are compared.
     """
     rest, edges = np.arange(len(fp)), []
     across = len(block) and block.min() != block.max()
@@ -233,8 +276,8 @@ def forest(fp: np.ndarray, plain: np.ndarray, block: np.ndarray, distance: int)
         while queue and len(rest):
             x = queue.pop()
             near = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1, dtype=np.int64) <= distance
-            if not plain[x]:
-                near &= plain[rest]
+            if flags[x] != 3:
+                near &= (flags[rest] | flags[x]) == 3
             if across:
                 near &= block[rest] != block[x]
             found = rest[near]
@@ -269,16 +312,25 @@ def near_edges(nodes: DataFrame, plan: Plan) -> DataFrame:
 
 def _verified(nodes: DataFrame, plan: Plan, segments: range, variants: bool) -> DataFrame:
     """Links found under the keys of one round, as a staged table: a spanning forest of each key's."""
-    spark, words = nodes.sparkSession, plan.bits // 64
+    spark = nodes.sparkSession
     width = shuffle_width(spark)
-    order = [F.col("key"), F.col("plain").desc()]
-    met = signatures(nodes, plan, segments, variants).repartition(width, "key").sortWithinPartitions(*order)
+    order = [F.col("key"), F.col("salt"), F.col("plain").desc()]
+    rows = salted(signatures(nodes, plan, segments, variants), hot_keys(signatures(sampled(nodes, F.col("node")), plan, segments, variants)))
+    met = rows.repartition(width, "key", "salt").sortWithinPartitions(*order)
     met = stage(met.mapInArrow(lambda batches: _meeting(batches, plan.block, variants), "key long, node long, plain boolean, block long"), "met")
-    # keys of more than one block: every pair of blocks is compared on its own
-    blocks = met.where("block > 0").groupBy("key").agg((F.max("block") + 1).alias("blocks"))
-    dealt = met.join(blocks, "key", "left").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "plain")
-    full = dealt.join(nodes.select("node", "fp"), "node").repartition(width, "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+    prints = nodes.select("node", "fp")
+    # keys of more than one block are cut once more, by the other bits of the fingerprint
+    large = stage(met.where("block > 0").select("key").distinct(), "large")
+    small = met.join(large, "key", "left_anti").join(prints, "node").select("key", F.lit(0).cast("long").alias("sub"), "node", "fp", F.when(F.col("plain"), 3).otherwise(2).cast("byte").alias("flags"))
+    cut = _sub_keys(met.join(large, "key").join(prints, "node"), plan).repartition(width, "key", "sub").sortWithinPartitions("key", "sub")
+    cut = stage(cut.mapInArrow(lambda batches: _in_blocks(batches, plan.block), f"{_CUT}, block long"), "cut")
+    # of a sub-key that still is larger than a block, every pair of blocks is compared on its own
+    blocks = cut.where("block > 0").groupBy("key", "sub").agg((F.max("block") + 1).alias("blocks"))
+    dealt = cut.join(blocks, ["key", "sub"], "left").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)))
+    dealt = dealt.select("key", "sub", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "fp", "flags")
+    zero = F.lit(0).cast("long")
+    full = small.select("key", "sub", zero.alias("a"), zero.alias("b"), zero.alias("block"), "node", "fp", "flags").unionByName(dealt)
+    full = full.repartition(width, *_GROUP).sortWithinPartitions(*_GROUP, "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -286,46 +338,103 @@ def _verified(nodes: DataFrame, plan: Plan, segments: range, variants: bool) ->
             if not batch.num_rows:
                 continue
             held.append(batch)
-            tail = [batch.column(c)[-1].as_py() for c in ("key", "a", "b")]
-            first = [held[0].column(c)[0].as_py() for c in ("key", "a", "b")]
+            tail = [batch.column(c)[-1].as_py() for c in _GROUP]
+            first = [held[0].column(c)[0].as_py() for c in _GROUP]
             if tail != first:  # all but the last group are whole
                 rows = pa.Table.from_batches(held).combine_chunks()
-                cut = _run_starts(rows)[-1]
-                yield _linked(rows.slice(0, cut), words, plan.distance)
-                held = rows.slice(cut).to_batches()
+                at = _run_starts(rows)[-1]
+                yield _linked(rows.slice(0, at), plan)
+                held = rows.slice(at).to_batches()
         if held:
-            yield _linked(pa.Table.from_batches(held).combine_chunks(), words, plan.distance)
+            yield _linked(pa.Table.from_batches(held).combine_chunks(), plan)
 
     out = stage(full.mapInArrow(verify, "u long, v long").distinct(), "links")
-    unstage(met)
+    unstage(met, large, cut)
     return out
 
 
+_GROUP = ("key", "sub", "a", "b")
+_CUT = "key long, sub long, node long, fp binary, flags byte"
+
+
+def _sub_keys(rows: DataFrame, plan: Plan) -> DataFrame:
+    """(key, sub, node, fp, flags) of rows (key, node, plain, fp): under a key, the other bits are cut in the same way.
+
+    Rows of one key are alike in its segment but for a bit, so the other bits of linked ones differ in ``distance`` at
+    most, and among ``distance // 2 + 1`` parts of them one differs in at most one bit. flags: 1 if the segment is plain,
+    2 if the part is; a pair is a candidate if each is set in one of its rows.
+    """
+    words, width, pieces = plan.bits // 64, plan.segment_bits, plan.distance // 2 + 1
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                key, plain = some.column("key").to_numpy(), some.column("plain").to_numpy(zero_copy_only=False).astype(np.int8)
+                bits = np.unpackbits(_matrix(some.column("fp"), words).astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(bool)
+                out: list[list[np.ndarray]] = [[], [], []]
+                for s in range(plan.segments):
+                    of = np.flatnonzero(key >> width == s)
+                    rest = np.delete(np.arange(plan.bits), np.arange(s * width, (s + 1) * width))
+                    for piece, places in enumerate(np.array_split(rest, pieces)):
+                        own = bits[of][:, places]
+                        weight = _mixed(np.arange(len(places), dtype=_U64) + _U64(piece << 16), 1)
+                        total = (own * weight).sum(axis=1, dtype=_U64) + _mixed(np.full(1, piece, _U64), 2)
+                        row, bit = np.nonzero(own)
+                        for at_rows, sub, flag in ((of, total, 2), (of[row], total[row] - weight[bit], 0)):
+                            out[0].append(at_rows), out[1].append(sub), out[2].append(plain[at_rows] | np.int8(flag))
+                at_rows, sub, flags = map(np.concatenate, out)
+                picked = some.take(pa.array(at_rows))
+                yield pa.RecordBatch.from_arrays([picked.column("key"), pa.array(sub.view(np.int64)), picked.column("node"), picked.column("fp"), pa.array(flags)], ["key", "sub", "node", "fp", "flags"])
+
+    return rows.select("key", "node", "plain", "fp").mapInArrow(make, _CUT)
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, sub), those of groups of two or more, with the block that their place in the group is in."""
+    last, place = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, sub = batch.column("key").to_numpy(), batch.column("sub").to_numpy()
+        new = np.concatenate([[(key[0], sub[0]) != last], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
+        starts = np.flatnonzero(new)
+        at = np.arange(len(key))
+        places = at - np.repeat(starts, np.diff(np.append(starts, len(key)))) if new[0] else None
+        if places is None:  # the group of the batch before goes on
+            starts = np.concatenate([[0], starts])
+            places = at - np.repeat(starts, np.diff(np.append(starts, len(key))))
+            first = int(starts[1]) if len(starts) > 1 else len(key)
+            places[:first] += place
+        last, place = (key[-1], sub[-1]), int(places[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places // block)], [*batch.schema.names, "block"])
+
+
 def _run_starts(rows: pa.Table) -> np.ndarray:
     new = np.zeros(rows.num_rows, bool)
     new[:1] = True
-    for c in ("key", "a", "b"):
+    for c in _GROUP:
         x = rows.column(c).to_numpy()
         new[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(new)
 
 
-def _linked(rows: pa.Table, words: int, distance: int) -> pa.RecordBatch:
-    fp, node = _matrix(rows.column("fp"), words), rows.column("node").to_numpy()
-    plain, block = rows.column("plain").to_numpy(), rows.column("block").to_numpy()
+def _linked(rows: pa.Table, plan: Plan) -> pa.RecordBatch:
+    fp, node = _matrix(rows.column("fp"), plan.bits // 64), rows.column("node").to_numpy()
+    flags, block = rows.column("flags").to_numpy(), rows.column("block").to_numpy()
     starts = _run_starts(rows)
     sizes = np.diff(np.append(starts, rows.num_rows))
     two = starts[sizes == 2]  # most groups: compared all at once
     a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
-    ok = (plain[two] | plain[two + 1]) & ((a[two] == b[two]) | (block[two] != block[two + 1]))
+    ok = ((flags[two] | flags[two + 1]) == 3) & ((a[two] == b[two]) | (block[two] != block[two + 1]))
     two = two[ok]
-    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1, dtype=np.int64) <= distance]
+    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1, dtype=np.int64) <= plan.distance]
     pairs = [np.stack([two, two + 1], axis=1)]
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
         own = block[s : s + n] if a[s] != b[s] else np.zeros(n, np.int64)
         if a[s] != b[s] and own.min() == own.max():
             continue
-        if found := forest(fp[s : s + n], plain[s : s + n], own, distance):
+        if found := forest(fp[s : s + n], flags[s : s + n], own, plan.distance):
             pairs.append(np.array(found) + s)
     at = np.concatenate(pairs)
     u, v = node[at[:, 0]], node[at[:, 1]]
@@ -343,224 +452,3 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     unstage(classes)
     # both sides are written tables: adaptive execution splits the fingerprint of a large group of copies
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-#: For "five words, similarity 0.8 or more": the exact Jaccard of the sets of five-word shingles (64-bit hashes). A cut of
-#: fingerprint bits cannot give that, so ``bits`` is only the length of the parity sketches below, which never reject a pair
-#: of 0.8, and nothing is indexed by segments.
-SIMILAR = Plan(shingle=5, bits=1024, segments=0, once=True)
-
-#: Documents, and shingles, that the list of common shingles is made of. The list decides cost, never results.
-SAMPLED_DOCS, COMMON_SHINGLES, COMMON_COUNT = 8_000, 100_000, 3
-
-
-def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes(t or b"", size)) for t in batch.column("text").to_pylist()]
-
-
-def _digest(hashes: np.ndarray) -> bytes:
-    return xxhash.xxh128_digest(hashes.tobytes())
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n // 5 + 1 of n distinct hashes in an order that all documents share: common ones last.
-
-    Two sets with Jaccard 0.8 or more share at least 0.8 of the larger one, so their first shared hash is among these
-    of both (the prefix filter); that holds for any shared order.
-    """
-    last = np.zeros(len(hashes), bool)
-    if len(common):
-        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-    return np.concatenate([hashes[~last], hashes[last]])[: len(hashes) // 5 + 1]
-
-
-def parity(hashes: np.ndarray, bits: int) -> bytes:
-    """Per bit, whether an odd number of hashes falls on it: two sets differ in at least as many hashes as sketches in bits."""
-    odd = np.bincount((hashes >> _U64(17)).astype(np.int64) % bits, minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def common_shingles(docs: DataFrame, plan: Plan) -> np.ndarray:
-    """Sorted hashes of shingles that several documents of a sample hold."""
-    every = -(-max(1, docs.count()) // SAMPLED_DOCS)
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_sets(batch, plan.shingle)).view(np.int64))], ["key"])
-
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.col("text").cast("binary").alias("text"))
-    counts = sample.mapInArrow(shingles, "key long").groupBy("key").count().where(F.col("count") >= COMMON_COUNT)
-    rows = counts.orderBy(F.desc("count"), "key").limit(COMMON_SHINGLES).select("key").collect()
-    return np.sort(np.array([r.key for r in rows], np.int64).view(_U64))
-
-
-def shingle_prints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, digest, n, odd, keys) of every row: digest, size, parity sketch and prefix of its set of shingles."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, plan))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            each = _sets(batch, plan.shingle)
-            keys = [prefix(h, common.value).view(np.int64) for h in each]
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([_digest(h) for h in each], pa.binary()), pa.array([len(h) for h in each], pa.int64()), pa.array([parity(h, plan.bits) for h in each], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                ["doc_id", "digest", "n", "odd", "keys"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(prints, "doc_id long, digest binary, n long, odd binary, keys array<long>")
-
-
-def _shingles_of(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """(node, n, shingles) of the wanted classes (node, doc_id, digest), hashed again from the text of that row."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            each = _sets(batch, plan.shingle)
-            good = np.array([_digest(h) == d for h, d in zip(each, batch.column("digest").to_pylist(), strict=True)])
-            each = [h for h, ok in zip(each, good, strict=True) if ok]
-            ends = np.concatenate([[0], np.cumsum([len(h) for h in each])]).astype(np.int32)
-            flat = np.concatenate([*each, np.empty(0, _U64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(good)), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "n", "shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(hashed, "node long, n long, shingles array<long>")
-
-
-def _possible(n: np.ndarray, odd: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether Jaccard 0.8 is possible by size and by parity sketch (no pair of 0.8 or more fails)."""
-    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=-1, dtype=np.int64)
-    return (5 * low >= 4 * high) & (9 * apart <= low + high)
-
-
-def _candidates(full: DataFrame, words: int) -> DataFrame:
-    """(u, v) of rows (key, a, b, block, node, part, n, odd) that share a key, are of two parts and may be alike."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in (*batches, None):
-            if batch is not None and not batch.num_rows:
-                continue
-            if batch is not None:
-                held.append(batch)
-            if not held:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            starts = _run_starts(rows)
-            cut = int(starts[-1]) if batch is not None else rows.num_rows
-            held = rows.slice(cut).to_batches() if batch is not None else []
-            if cut:
-                yield from _paired(rows.slice(0, cut), words)
-
-    return full.mapInArrow(pairs, "u long, v long").distinct()
-
-
-def _paired(rows: pa.Table, words: int) -> Iterator[pa.RecordBatch]:
-    node, part, n, block, a, b = (rows.column(c).to_numpy() for c in ("node", "part", "n", "block", "a", "b"))
-    odd, starts = _matrix(rows.column("odd"), words), _run_starts(rows)
-    out, held = [], 0
-    for s, e in zip(starts.tolist(), np.append(starts[1:], rows.num_rows).tolist(), strict=True):
-        for x in range(s, e - 1):
-            y = np.arange(x + 1, e)
-            y = y[(part[y] != part[x]) & ((a[s] == b[s]) | (block[y] != block[x]))]
-            y = y[_possible(n, odd, np.full(len(y), x), y)]
-            if len(y):
-                out.append((np.maximum(node[x], node[y]), np.minimum(node[x], node[y])))
-                held += len(y)
-            if held > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["u", "v"])
-                out, held = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["u", "v"])
-
-
-def _screened(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """The pairs (u, v) that may be alike by size and by parity sketch."""
-
-    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if k := batch.num_rows:
-                n = np.concatenate([batch.column(c).to_numpy() for c in ("nu", "nv")])
-                odd = np.concatenate([_matrix(batch.column(c), words) for c in ("ou", "ov")])
-                yield batch.select(["u", "v"]).filter(pa.array(_possible(n, odd, np.arange(k), np.arange(k, 2 * k))))
-
-    one, two = (classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "ou", "ov").mapInArrow(screen, "u long, v long")
-
-
-def _alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (u, v) whose sets have Jaccard 0.8 or more, in whole numbers; a staged table. Only their texts move."""
-    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = stage(_shingles_of(docs, classes.join(met, "node", "left_semi").select("node", "doc_id", "digest"), plan), "sets")
-    one, two = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")) for c in "uv")
-    near = pairs.join(one, "u").join(two, "v")
-    shared = F.size(F.array_intersect("su", "sv"))
-    links = stage(near.where((5 * F.least("nu", "nv") >= 4 * F.greatest("nu", "nv")) & (9 * shared >= 4 * (F.col("nu") + F.col("nv")))).select("u", "v").distinct(), "links")
-    unstage(sets)
-    return links
-
-
-def similar_links(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """(u, v): links of classes with Jaccard 0.8 or more, enough of them to connect whatever is linked.
-
-    All pairs of 0.8 share a prefix shingle. First each row of a key is held against the key's smallest node; then, in
-    keys whose rows are still of several parts, all pairs of two parts are, so a group of near copies costs its rows.
-    """
-    width, words = shuffle_width(docs.sparkSession), plan.bits // 64
-    rows = classes.select(F.explode("keys").alias("key"), "node", F.lit(True).alias("plain"), F.col("node").alias("part"))
-    met = rows.repartition(width, "key").sortWithinPartitions("key")
-    met = stage(met.mapInArrow(lambda batches: _meeting(batches, plan.block, False), "key long, node long, plain boolean, block long").drop("plain"), "met")
-    centres = met.groupBy("key").agg(F.min("node").alias("v"))
-    stars = met.join(centres, "key").where("node > v").select(F.col("node").alias("u"), "v").distinct()
-    stars = stage(_screened(stars, classes, words), "stars")
-    links = _alike(stars, docs, classes, plan)
-    parts = stage(classes.join(components(links), "node", "left").select("node", "n", "odd", F.coalesce("component", "node").alias("part")), "parts")
-    mixed = met.join(parts.select("node", "part"), "node").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), (F.max("block") + 1).alias("blocks"))
-    mixed = stage(mixed.where("low < high").select("key", "blocks"), "mixed")
-    # keys of more than one block: every pair of blocks is compared on its own
-    dealt = met.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node")
-    full = dealt.join(parts, "node").repartition(width, "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
-    rest = stage(_candidates(full, words).join(stars, ["u", "v"], "left_anti"), "pairs")
-    more = _alike(rest, docs, classes, plan)
-    unstage(met, mixed, parts, stars, rest)
-    return links.unionByName(more)
-
-
-def without_near_copies(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
-    """The rows of ``docs``, all columns, but for one document (the smallest doc_id) of each near-duplicate group only.
-
-    Near duplicates have Jaccard 0.8 or more of their distinct shingles, exactly, or are linked by such documents. Rows
-    without a doc_id cannot be named and stay. Rows that share a doc_id are told apart by their shingles.
-    """
-    prints = stage(shingle_prints(docs, plan), "prints")
-    # one class a set of shingles, numbered; classes of null ids only cannot be named and stay out
-    classes = prints.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "odd", "keys")))
-    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = components(similar_links(docs, classes, plan))
-    one = F.min(F.struct("doc_id", "digest")).alias("one")
-    named = stage(classes.select("node", "doc_id", "digest").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component_id")).agg(one).select("one.*"), "named")
-    repeated = prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    unstage(prints, classes)
-    # a merge join at every size: kept ids grow with the documents, so a broadcast would hold for small inputs only
-    if repeated:  # an id does not tell its rows apart: their sets of shingles do
-        mark = "_digest"
-        while mark in {c.lower() for c in docs.columns}:
-            mark += "_"
-        kept = _marked(docs, plan, mark).join(named.withColumnRenamed("digest", mark).hint("merge"), ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
-    else:
-        kept = docs.join(named.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def _marked(docs: DataFrame, plan: Plan, name: str) -> DataFrame:
-    """``docs`` with the digest of each row's set of shingles."""
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            texts = pa.RecordBatch.from_arrays([batch.column("text").cast(pa.binary())], ["text"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(h) for h in _sets(texts, plan.shingle)], pa.binary())], [*batch.schema.names, name])
-
-    return docs.mapInArrow(digests, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))

@@ -1,4 +1,3 @@
-import dataclasses
 import itertools
 import random
 
@@ -55,9 +54,11 @@ def test_given_table_against_brute_force(spark, sf):
     assert sorted(collected(simhash.near_duplicates(docs))) == sorted((i, fp, comp[i]) for i, fp in expected.items())
 
 
-@pytest.mark.parametrize("block", [4096, 5])
-def test_links_of_clouds(spark, block):
-    """Dense clouds of fingerprints, with buckets cut into many blocks: the same components as all pairs give."""
+@pytest.mark.parametrize(("block", "hot"), [(4096, 10**9), (5, 10**9), (4096, 2), (5, 2)])
+def test_links_of_clouds(spark, monkeypatch, block, hot):
+    """Dense clouds of fingerprints, with keys cut into sub-keys and blocks, or salted: the same components as all pairs give."""
+    found_hot = simhash.hot_keys
+    monkeypatch.setattr(simhash, "hot_keys", lambda rows: found_hot(rows, hot))
     rng = random.Random(3)
     prints = set()
     for _ in range(6):
@@ -78,7 +79,7 @@ def test_links_of_clouds(spark, block):
 
 def test_signatures_meet_exactly_once():
     plan = simhash.Plan()
-    assert plan.exact and not simhash.SIMILAR.exact
+    assert plan.exact
     assert simhash.Plan(distance=4).exact is False
 
 
@@ -106,36 +107,6 @@ def test_components_of_paths_and_cycles(spark):
 
 def test_empty(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
-    assert simhash.without_near_copies(no_docs).count() == 0
-
-
-def shingles(text):
-    w = text.lower().split()
-    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def test_near_copies_leave_one_of_each_group(spark, copied):
-    rows, groups = copied
-    rng = random.Random(1)
-    lone = [(5000 + i, " ".join(str(rng.random()) for _ in range(100))) for i in range(60)]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + lone], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = simhash.without_near_copies(docs)
-    assert kept.columns == docs.columns
-    left = {r.doc_id for r in kept.collect()}
-    assert {i for i, _ in lone} <= left and {g[0] for g in groups} <= left
-    # links of 0.85 and more are found
-    texts = dict(rows)
-    for g in groups:
-        for a, b in itertools.combinations(g, 2):
-            x, y = shingles(texts[a]), shingles(texts[b])
-            if len(x & y) / len(x | y) >= 0.9:
-                assert not {a, b} <= left
-
-
-def test_rows_without_id_stay_and_repeats_go(odd_docs, odd_rows):
-    got = [r.doc_id for r in simhash.without_near_copies(odd_docs).collect()]
-    assert got.count(None) == 2 and got.count(7) == 0 and got.count(6) == 1 and 8 not in got
-    assert sum(i in got for i in (0, 1, 2)) == 1  # texts without a word are one group
 
 
 @pytest.mark.parametrize("variants", [False, True])
@@ -145,10 +116,11 @@ def test_streamed_runs(variants, cut):
     import pyarrow as pa
 
     rng = random.Random(cut)
-    rows = sorted(((rng.randrange(120), i, (not variants) or rng.random() < 0.5, rng.randrange(3)) for i in range(600)), key=lambda r: (r[0], not r[2]))
+    rows = sorted(((rng.randrange(120), -1, i, (not variants) or rng.random() < 0.5, rng.randrange(3)) for i in range(600)), key=lambda r: (r[0], not r[3]))
     groups = {k: list(g) for k, g in itertools.groupby(rows, key=lambda r: r[0])}
-    wanted = {r[:3] for g in groups.values() if len(g) > 1 and g[0][2] and len({r[3] for r in g}) > 1 and (not variants or not g[-1][2]) for r in g}
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("plain", pa.bool_()), ("part", pa.int64())])
+    three = lambda r: (r[0], r[2], r[3])
+    wanted = {three(r) for g in groups.values() if len(g) > 1 and g[0][3] and len({r[4] for r in g}) > 1 and (not variants or not g[-1][3]) for r in g}
+    schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("plain", pa.bool_()), ("part", pa.int64())])
     stream = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + cut]), schema)], schema=schema) for i in range(0, len(rows), cut)]
     stream.insert(1, stream[0].slice(0, 0))
 
@@ -160,75 +132,28 @@ def test_streamed_runs(variants, cut):
         return {r[:3] for r in out}
 
     assert run(10_000) == wanted
-    assert wanted <= run(2) <= {r[:3] for r in rows}
-
-
-DOCS = "doc_id long, text string"
-
-
-def planted(rng, at, shape):
-    """Pairs of texts of 9k, ... own shingles that differ in their last k words: Jaccard (m - k) / (m + k) of m shingles."""
-    rows, pairs = [], []
-    for m, k in shape:
-        w = [f"w{rng.getrandbits(60):x}" for _ in range(m + 4 + k)]
-        rows += [(at, " ".join(w[: m + 4])), (at + 1, " ".join(w[: m + 4 - k] + w[m + 4 :]))]
-        pairs.append((at, at + 1))
-        at += 2
-    return rows, pairs
-
-
-def test_every_pair_of_similarity_from_08_is_found(spark):
-    """Also at exactly 0.8, where 36 segments of fingerprint bits met in about nine of ten."""
-    rows, pairs = planted(random.Random(21), 0, [(m * k, k) for m in (9, 10, 11, 12) for k in (1, 2, 3, 5, 8, 13, 20, 34) for _ in range(4)])
-    left = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
-    assert left == {a for a, _ in pairs}
-
-
-def test_pairs_below_08_stay(spark):
-    """Short texts too: one changed word of 10 leaves 0.71, of 12 leaves 0.78."""
-    rows, pairs = planted(random.Random(22), 0, [(m * k, k) for m in (6, 7, 8) for k in (1, 1, 1, 1, 2, 3, 5, 8, 13, 20, 34)])
-    assert rows[0][1].count(" ") == 9
-    rows += [(1000, "one two three four"), (1001, "one two three five"), (1002, "one"), (1003, "two")]
-    kept = simhash.without_near_copies(spark.createDataFrame(rows, DOCS).repartition(4))
-    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows]
-
-
-def brute_kept(rows):
-    """The smallest id of each component of pairs with five-word Jaccard 0.8 or more."""
-    sets = {i: shingles(t) if t.split() else set() for i, t in rows}
-    root = {i: i for i in sets}
-    for a, b in itertools.combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if root[a] != root[b] and (10 * len(x & y) >= 8 * len(x | y)):
-            low, high = sorted((root[a], root[b]))
-            root = {i: low if r == high else r for i, r in root.items()}
-    return {i for i, r in root.items() if i == r}
-
-
-def test_kept_ids_against_brute_force(spark, monkeypatch):
-    """Both directions: pairs around 0.8, chains of edits, short texts, a passage that many texts share."""
-    rng = random.Random(23)
-    rows, _ = planted(rng, 0, [(m * k, k) for m in (6, 7, 8, 9, 10, 12) for k in (1, 2, 4, 9, 25)])
-    passage = [f"p{i}" for i in range(60)]
-    for n in (3, 10, 30, 200, 260, 300):
-        rows += [(1000 + 10 * n + i, " ".join(passage + [f"{rng.random()}" for _ in range(n)])) for i in range(8)]
-    chain = [f"c{i}" for i in range(120)]
-    for i in range(40):
-        rows.append((9000 + i, " ".join(chain)))
-        chain[rng.randrange(120)] = f"{rng.random()}"
-    rows += [(9500 + i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for i in range(60)]
-    rng.shuffle(rows)
-    docs, want = spark.createDataFrame(rows, DOCS).repartition(5), brute_kept(rows)
-    for plan in (simhash.SIMILAR, dataclasses.replace(simhash.SIMILAR, block=3)):
-        for sampled in (8_000, 1):
-            monkeypatch.setattr(simhash, "SAMPLED_DOCS", sampled)
-            assert {r.doc_id for r in simhash.without_near_copies(docs, plan).collect()} == want
-
-
-def test_rows_of_one_id_are_judged_each(spark):
-    """An id on two texts: the copy goes, the lone text stays; two lone texts of one id both stay."""
-    rng = random.Random(24)
-    a, b, c, d = (" ".join(f"{rng.random()}" for _ in range(50)) for _ in range(4))
-    rows = [(1, a), (5, a + " more"), (5, b), (6, c), (6, d), (6, d), (7, d)]
-    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert sorted(tuple(r) for r in kept.collect()) == sorted([(1, a), (5, b), (6, c), (6, d)])
+    assert wanted <= run(2) <= {three(r) for r in rows}
+
+
+def test_a_large_key_costs_its_rows(spark, monkeypatch):
+    """20,000 unlike fingerprints of one segment: rows grow by a fixed factor, and all links are found."""
+    rng, counted, real = np.random.default_rng(12), {}, simhash.stage
+    high = np.unique(rng.integers(0, 2**32, 20_500, dtype=np.uint64))[:20_000]
+    fp = (high << np.uint64(32)) | np.uint64(0x5A5A1234)
+    nodes = spark.createDataFrame([(i, int(f).to_bytes(8, "big")) for i, f in enumerate(fp)], "node long, fp binary").repartition(4)
+
+    def kept(df, name):
+        out = real(df, name)
+        counted[name] = max(counted.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stage", kept)
+    found = {r.node: r.component for r in components(simhash.near_edges(nodes, simhash.Plan())).collect()}
+    assert counted["met"] <= 18 * len(fp) and counted["cut"] <= 20 * counted["met"]
+    parent = np.arange(len(fp))
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(fp[i] ^ fp[i + 1 :]) <= 3) + i + 1:
+            a, b = sorted((int(parent[i]), int(parent[j])))
+            if a != b:
+                parent[parent == b] = a
+    assert {i: found.get(i, i) for i in range(len(fp))} == dict(enumerate(parent.tolist()))
