@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvspark.llm import ftrl, gam, packing, simhash
+from kvspark.llm import ftrl, gam, near_copies, packing
 from kvspark.llm.common import ship_code, stage, table, unstage
 from kvspark.llm.tokens import default_vocabulary
 
@@ -26,9 +26,9 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document (the smallest doc_id) of each group of near copies: five-word shingles, Jaccard 0.8 or more, exactly."""
     ship_code(spark)
-    return simhash.without_near_copies(docs)
+    return near_copies.without_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
