@@ -53,6 +53,8 @@ SAMPLED, COMMON_COUNT = 8_000, 3
 SAMPLED_SETS, HOT_COUNT = 1_000, 8
 #: Common shingles, and hot keys, at most: what is broadcast.
 COMMON = 100_000
+#: Sets that a task remembers to have given the first shingles of.
+SEEN = 250_000
 #: Rows of one key that a task holds to see whether they can be a pair; of longer runs all rows go on.
 HELD_ROWS = 1 << 20
 #: Rounds in which parts of a key are held against each other by one node each.
@@ -292,49 +294,62 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def set_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n, known, keys) of every row: digest and size of its set of shingles, and its first shingles."""
+    """(doc_id, digest, mark, n, known, keys) of every row: digest and size of its set of shingles, and its first shingles.
+
+    ``mark`` is the start of the digest. A task gives the first shingles of a set once (or a few times, where it meets more
+    than ``SEEN`` sets), so a group of exact copies costs a few rows a task.
+    """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # at most COMMON shingles
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches, "text", _BATCH):
-            each = _sets(batch.column("text"))
-            first = [prefix(h, common.value) for h in each]
+            each, marks, digests, keys, known = _sets(batch.column("text")), [], [], [], []
+            for h in each:
+                digests.append(_digest(h))
+                marks.append(mark := int.from_bytes(digests[-1][:8], "little", signed=True))
+                first, count = prefix(h, common.value)
+                keys.append(first[:0] if mark in seen else first)
+                known.append(count)
+                seen = seen if len(seen) < SEEN else set()
+                seen.add(mark)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([_digest(h) for h in each], pa.binary()), pa.array([len(h) for h in each], pa.int64()), pa.array([k for _, k in first], pa.int64()), _lists([p for p, _ in first])],
-                ["doc_id", "digest", "n", "known", "keys"],
+                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(marks, pa.int64()), pa.array([len(h) for h in each], pa.int64()), pa.array(known, pa.int64()), _lists(keys)],
+                ["doc_id", "digest", "mark", "n", "known", "keys"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(prints, "doc_id long, digest binary, n long, known long, keys array<long>")
+    return rows.mapInArrow(prints, "doc_id long, digest binary, mark long, n long, known long, keys array<long>")
 
 
 def _in_other_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of rows (key, node), sorted by key, whose key occurs again; a node as often as it has such rows."""
-    before: tuple[int, int] | None = None  # the last row, if its run may go on
-    open_run = False
+    """Marks of rows (key, mark), sorted, whose key occurs with another mark too; one for each such key."""
+    before: tuple[int, int] | None = None  # the last row
+    shared = False  # whether its key has come with another mark
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        like_last, like_next = np.empty(len(key), bool), np.empty(len(key), bool)
-        like_last[1:] = key[1:] == key[:-1]
-        like_last[0] = before is not None and before[0] == key[0]
-        like_next[:-1], like_next[-1] = like_last[1:], False
-        out = node[like_last | like_next]
-        if like_last[0] and not open_run:  # the row that ended the batch before is not alone after all
-            out = np.append(out, before[1])
-        yield pa.RecordBatch.from_arrays([pa.array(out)], ["node"])
-        before, open_run = (key[-1], node[-1]), bool(like_last[-1])
+        key, mark = batch.column("key").to_numpy(), batch.column("mark").to_numpy()
+        if before is not None:
+            key, mark = np.append(before[0], key), np.append(before[1], mark)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])
+        key, mark = key[new], mark[new]
+        like_last = np.concatenate([[shared], key[1:] == key[:-1]])
+        like_next = np.append(key[1:] == key[:-1], False)
+        out = like_last | like_next
+        out[0] &= before is None or not shared  # the row before was given already
+        yield pa.RecordBatch.from_arrays([pa.array(mark[out])], ["mark"])
+        before, shared = (key[-1], mark[-1]), bool(like_last[-1])
 
 
 def _survivors(prints: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, doc_id, digest) of the classes that share enough of their first shingles with others."""
     width = shuffle_width(prints.sparkSession)
-    own = prints.where(F.col("n") >= LEAST).join(classes.select("node"), "node", "left_semi")
-    keys = own.select(F.explode("keys").alias("key"), "node").repartition(width, "key").sortWithinPartitions("key")
-    hits = keys.mapInArrow(_in_other_runs, "node long").groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
+    keys = prints.where(F.col("n") >= LEAST).select(F.explode("keys").alias("key"), "mark")
+    keys = keys.repartition(width, "key").sortWithinPartitions("key", "mark")
+    hits = keys.mapInArrow(_in_other_runs, "mark long").groupBy("mark").agg(F.count(F.lit(1)).alias("hits"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 10))
-    found = own.select("node", "doc_id", "digest", "n", "known").join(hits, "node", "left")
+    found = classes.where(F.col("n") >= LEAST).join(hits, "mark", "left")
     return found.where(F.coalesce("hits", F.lit(0)) + F.col("known") >= least).select("node", "doc_id", "digest")
 
 
@@ -374,10 +389,12 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     met = pairs.join(side("u", "n", "odd"), "u").join(side("v", "n", "odd"), "v").select("u", "v", "nu", "nv", "ou", "ov")
     met = stage(met.mapInArrow(screen, "u long, v long"), "screened")
-    near = met.join(side("u", "shingles"), "u").join(side("v", "shingles"), "v")
+    # only sets that are left in a pair move; by a merge join at every size, as they grow with the documents
+    sets = stage(sets.select("node", "shingles").join(met.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "left")
+    near = met.join(side("u", "shingles").hint("merge"), "u").join(side("v", "shingles").hint("merge"), "v")
     shared, either = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
     links = stage(near.where(9 * shared >= 4 * either).select("u", "v"), "links")
-    unstage(met)
+    unstage(met, sets)
     return links
 
 
@@ -447,11 +464,11 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
     Near duplicates have Jaccard 0.8 or more of their distinct five-word shingles, or are linked by such documents.
     """
-    prints = stage(set_prints(docs).withColumn("node", F.monotonically_increasing_id()), "prints")
-    named = prints.where("doc_id is not null")
-    # one class a set of shingles; its node is the row of its smallest doc_id
-    classes = stage(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("node", "doc_id").alias("node")), "classes")
-    repeated = named.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    prints = stage(set_prints(docs.where("doc_id is not null")), "prints")
+    # one class a set of shingles, numbered
+    classes = prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("mark", "n", "known")))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    repeated = prints.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     wanted = stage(_survivors(prints, classes), "wanted")
     sets = _sets_of(docs, wanted)
     sets = stage(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
@@ -465,7 +482,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
         left = _marked(docs, mark).join(kept.withColumnRenamed("digest", mark), ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
         out = left.select(docs.columns).unionByName(docs.where("doc_id is null"))
     else:
-        gone = stage(named.select("doc_id").join(kept, "doc_id", "left_anti"), "gone")
+        gone = stage(prints.select("doc_id").join(kept, "doc_id", "left_anti"), "gone")
         out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     unstage(prints, classes, wanted, sets)
     return out
