@@ -6,13 +6,18 @@ permutation for all sketches). A sketch keeps its ``KEEP`` smallest elements, pu
 tuple of k-mers: a moved passage changes it even where the set of k-mers stays. Likeness is the share of sketches,
 of those filled in either text, that agree.
 
-Scale: everything is per row, on sorted arrays of longs, without exploding texts. Texts move once: the tables of
-neighbours are joined by id, and both joins read the same exchange. Ids are ranked by range, so no task sees all ids.
+Elements are hashes of 64 - POSITION_BITS bits with the position of their k-mer beside them, in one long, at every
+length; k-mers of a text that are equal in those bits (about one pair in 2**33) count as occurrences of one.
+
+Scale: everything is per row, on sorted arrays of longs, without exploding texts. A text is sketched once where it is
+scanned; sketches travel to neighbours, and the texts move once: the tables of neighbours are joined by id, and both joins
+read the same exchange. Ids are ranked by range, so no task sees all ids.
 
 Edge cases: a null text is empty; a text without a word has an empty fingerprint, alike (1.0) to another empty one
 and unlike (0.0) any other; fewer words than K make one k-mer of them all; rows with equal doc_ids are fingerprinted
-each, and count as one document for their neighbours (the smallest text stands for it); rows without doc_id are left
-out of the neighbour report; of a single document the next is itself; an empty table gives no rows.
+each, and count as one document for their neighbours (the smallest text stands for it); rows without doc_id have no
+neighbour: they are fingerprinted, their edited text lacks its second half, and ``near_next`` is null; of a single
+document the next is itself; an empty table gives no rows. Every row of the input has a row in the report.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_back, shuffle_width, stage, unstage
-from .lines import beside, positions_mask, words_of
+from .lines import beside, words_of
 
 K = 2
 BIN_BITS = 6
 KEEP = 2
+POSITION_BITS = 31
 #: Bits of a sketch's tuple hash that a fingerprint shows.
 SHOWN_BITS = 24
 
@@ -39,8 +45,7 @@ def sketches(df: DataFrame, text: str, out: str) -> DataFrame:
     n = F.greatest(F.size(h) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
     df = df.select(*keep(F.when(F.size(h) >= K, pairs).otherwise(h).alias("_k")))
-    df = df.withColumn("_mask", positions_mask(F.size("_k")))
-    k, mask = F.col("_k"), F.col("_mask")
+    k, mask = F.col("_k"), F.lit((1 << POSITION_BITS) - 1).cast("long")
     df = df.withColumn("_s", beside(k, mask))
     s = F.col("_s")
     top = lambda x: x.bitwiseAND(F.bitwise_not(mask))
@@ -54,7 +59,7 @@ def sketches(df: DataFrame, text: str, out: str) -> DataFrame:
     first = F.col("_first")
     later = F.transform(first, lambda a, j: F.transform(F.slice(r, a + 1, F.coalesce(F.get(first, j + 1), F.size(r)) - a), lambda i, o: numbered(F.coalesce(F.get(s, i), F.lit(0).cast("long")), o + 1)))
     once = F.transform(F.filter(s, lambda x, i: ~again(i)), lambda x: numbered(x, F.lit(0)))
-    df = df.select(*keep("_k", "_mask", F.sort_array(F.concat(once, F.flatten(later))).alias("_g")))
+    df = df.select(*keep("_k", F.sort_array(F.concat(once, F.flatten(later))).alias("_g")))
     g = F.col("_g")
     bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
     df = df.withColumn("_c", F.filter(g, lambda x, i: (i < KEEP) | (bin_of(F.get(g, i - KEEP)) != bin_of(x))))
@@ -99,24 +104,30 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def neighbour_report(docs: DataFrame) -> DataFrame:
-    """Per document: its fingerprint, its edited text's, and how alike it is to that and to the next document."""
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    sizes = stage(one.select("doc_id", F.length("text").cast("long").alias("n_chars")), "sizes")
-    if sizes.groupBy("doc_id").count().where("count > 1").limit(1).count():  # the smallest text stands for a repeated id
-        one = one.groupBy("doc_id").agg(F.min("text").alias("text"))
-        unstage(sizes)
-        sizes = stage(one.select("doc_id", F.length("text").cast("long").alias("n_chars")), "sizes")
-    # how many code points each document borrows of the next
-    loans = stage(sizes.join(next_ids(sizes.select("doc_id")), "doc_id").select("doc_id", "next_id", "n_chars", F.floor(F.col("n_chars") / 2).cast("int").alias("half")), "loans")
+    """Per row: its fingerprint, its edited text's, and how alike it is to that and to the next document."""
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    named = one.where("doc_id is not null")
+    chars = F.length("text").cast("long").alias("n_chars")
+    repeated = named.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    lenders = named.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else named  # the smallest text stands for an id
+    prints = stage(sketches(lenders.select("doc_id", chars, "text"), "text", "sketch").drop("text"), "prints")
+    longest = named.groupBy("doc_id").agg(F.max(F.length("text").cast("long")).alias("n_chars")) if repeated else prints.select("doc_id", "n_chars")
+    # how many code points each document borrows at most of the next, and what is known of both
+    after = prints.select(F.col("doc_id").alias("next_id"), F.col("sketch").alias("next_sketch"))
+    loans = longest.join(next_ids(prints.select("doc_id")), "doc_id").join(after, "next_id").join(prints.select("doc_id", "sketch"), "doc_id")
+    loans = stage(loans.select("doc_id", "next_id", "sketch", "next_sketch", F.floor(F.col("n_chars") / 2).cast("int").alias("most")), "loans")
     # both joins read one exchange of the texts; sketches are made behind it, as one with lambdas in it is not reused
-    lender, owner = one.alias("lender"), one.alias("owner")
-    lent = loans.join(lender, F.col("next_id") == F.col("lender.doc_id")).select(loans.doc_id, "n_chars", "half", F.col("lender.text").alias("text"))
-    lent = sketches(lent, "text", "next_sketch").withColumn("tail", F.substr("text", F.lit(1), F.col("half"))).drop("text")
-    both = lent.alias("lent").join(owner, F.col("lent.doc_id") == F.col("owner.doc_id"))
-    edited = F.concat(F.substr("owner.text", F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), "tail")
-    both = both.select(F.col("lent.doc_id").alias("doc_id"), "n_chars", "next_sketch", F.col("owner.text").alias("text"), edited.alias("edited"))
-    both = sketches(both, "text", "sketch").drop("text")
-    out = sketches(both.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch")
+    lender, owner = lenders.alias("lender"), named.alias("owner")
+    lent = loans.join(lender, F.col("next_id") == F.col("lender.doc_id")).select(loans.doc_id, "sketch", "next_sketch", F.substr("lender.text", F.lit(1), F.col("most")).alias("loan"))
+    both = lent.alias("lent").join(owner, F.col("lent.doc_id") == F.col("owner.doc_id")).select(F.col("owner.doc_id").alias("doc_id"), "sketch", "next_sketch", "loan", F.col("owner.text").alias("text"))
+    if repeated:
+        both = sketches(both.drop("sketch"), "text", "sketch")
+    nameless = one.where("doc_id is null").select("doc_id", F.lit(None).cast("array<int>").alias("next_sketch"), F.lit("").alias("loan"), "text")
+    out = both.unionByName(sketches(nameless, "text", "sketch"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("loan", F.lit(1), half))
+    out = out.withColumn("n_chars", chars).withColumn("edited", edited).drop("text", "loan")
+    out = sketches(out.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("sketch")).alias("fingerprint"), shown(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
