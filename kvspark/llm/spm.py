@@ -3,7 +3,7 @@
 The model protobuf is parsed here (wire format only). Its normaliser becomes a tokenizers pipeline: the precompiled
 character map, removal of extra spaces, the dummy prefix and the metaspace marker. Unigram models keep their scores;
 BPE models get the merges that their scores rank. Bytes back up what the vocabulary lacks. Batches are encoded
-multithreaded where the worker has cores to itself (``threads``), and parity with the reference library is verified:
+by several threads (``threads``), and parity with the reference library is verified:
 on probes when a model is loaded, and for each document that ``verify`` asks for.
 
 Texts are cut in front of every run of spaces if no piece of the vocabulary reaches over such a cut; then each distinct
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
@@ -272,11 +272,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
+def task_threads(spark: SparkSession) -> int:
+    """Threads that encode a batch: the cores of a task, two at least."""
+    return max(2, int(spark.sparkContext.getConf().get("spark.task.cpus", "1")))
+
+
+def round_trip(docs: DataFrame, path: str, threads: int | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_crc32, parity (ids equal the reference library's), decoded_sha256, same_text.
 
-    Encodes and decodes every whole text; the reference library encodes each of them too.
+    Encodes and decodes every whole text; the reference library encodes each of them too. Batches are encoded by
+    ``threads`` threads (else ``task_threads``).
     """
+    threads = task_threads(docs.sparkSession) if threads is None else threads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, threads)
