@@ -95,6 +95,21 @@ def smallest_by_hash(rows: DataFrame, column: str, most: int) -> DataFrame:
     return rows.orderBy(hashed, column).limit(most)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, skip: tuple[int, int], most: int) -> DataFrame:
+    """(doc_id, text, y, told) of at most ``most`` labelled ids outside the fold that is held out; told ranks texts of an id."""
+    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = known.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", skip[0]) != skip[1]))
+    chosen = smallest_by_hash(known, "doc_id", most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
+    return rows.withColumn("told", F.xxhash64("text"))
+
+
+def one_an_id(rows: DataFrame) -> DataFrame:
+    """Of rows of one doc_id, that with the smallest ``told``: as many rows as ids, however often an id is repeated."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "told")]
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), "told").alias("r")).select("doc_id", "r.*")
+
+
 def held_back(value: Column) -> Column:
     """``value``, behind a fence for the optimizer: filters on it are not copied into the expressions it is made of.
 

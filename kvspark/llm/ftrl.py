@@ -7,7 +7,9 @@ short list of (bucket, weight) that any task can hold: at most ``2**BITS`` entri
 
 Edge cases: a null or empty text has no features and scores the bias alone; labels that are null or of other values
 than 0 and 1 are not learnt from; a doc_id labelled twice counts by its highest label; without both labels in the
-training rows the score is the training rate of label 1 (0.5 without any row); repeated rows score alike.
+training rows the score is the training rate of label 1 (0.5 without any row); a doc_id on several rows is learnt from
+once, and each row is scored, repeated ones alike; an empty table has no scores; columns other than doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep_rows, slices, smallest_by_hash, split_words, text_or_empty
+from .common import crc_mod, keep_rows, labelled_sample, one_an_id, slices, split_words, text_or_empty
 
 BITS = 22
 #: Labelled rows that are learnt from at most: those with the smallest hash of their id.
@@ -93,25 +95,19 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 6)
     return {"buckets": kept, "weights": w[kept], "bias": model.bias}
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, skip: tuple[int, int], most: int) -> DataFrame:
-    """At most ``most`` labelled documents (doc_id, text, y), outside the fold that is held out."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    known = known.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", skip[0]) != skip[1]))
-    chosen = smallest_by_hash(known, "doc_id", most)
-    return docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", skip: tuple[int, int] = (5, 0), most: int = SAMPLE) -> dict:
+    """A model of at most ``most`` labelled documents; of an id on several rows, one is learnt from."""
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             owner, bucket = features(batch.column("text"))
             joint = np.unique((owner << BITS) | bucket)
             bounds = np.searchsorted(joint, np.arange(batch.num_rows + 1) << BITS)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array((joint & ((1 << BITS) - 1)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), lists], ["doc_id", "y", "buckets"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "told", "y")), lists], ["doc_id", "told", "y", "buckets"])
 
-    chosen = sample(docs, labels, label, skip, most).select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text")
-    got = chosen.mapInArrow(extract, "doc_id long, y int, buckets array<int>").toArrow().combine_chunks()
+    rows = labelled_sample(docs, labels, label, skip, most)
+    got = one_an_id(rows.mapInArrow(extract, "doc_id long, told long, y int, buckets array<int>")).toArrow().combine_chunks()
     rows = []
     ids, ys, buckets = (got.column(i) for i in range(3))
     for i in sorted(range(got.num_rows), key=lambda i: ids[i].as_py()):

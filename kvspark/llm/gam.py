@@ -8,7 +8,8 @@ looked-up entries: bin each column, gather, add.
 The model is fitted on a bounded sample of labelled rows (``SAMPLE``); its tables are a fixed number of floats.
 
 Edge cases: null and empty texts have all features zero and are scored; labels that are null or of other values than
-0 and 1 are not learnt from; a doc_id labelled twice counts by its highest label; without both labels in the training
+0 and 1 are not learnt from; a doc_id labelled twice counts by its highest label; a doc_id on several rows is learnt from
+once, and each row is scored; an empty table has no scores; columns other than doc_id and text are ignored; without both labels in the training
 rows the score is the rate of label 1 (0.5 without any row).
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep_rows, slices, smallest_by_hash, split_words, text_or_empty
+from .common import crc_mod, keep_rows, labelled_sample, one_an_id, slices, split_words, text_or_empty
 
 #: Labelled rows that are learnt from at most: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -204,18 +205,16 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", skip: tuple[int, int] = (3, 1), most: int = SAMPLE) -> dict:
-    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    known = known.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", skip[0]) != skip[1]))
-    chosen = smallest_by_hash(known, "doc_id", most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
+    """A model of at most ``most`` labelled documents; of an id on several rows, one is learnt from."""
+    rows = labelled_sample(docs, labels, label, skip, most)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             x = features(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.int32()), lists], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "told", "y")), lists], ["doc_id", "told", "y", "x"])
 
-    got = rows.mapInArrow(extract, "doc_id long, y int, x array<double>").toArrow().combine_chunks().sort_by("doc_id")
+    got = one_an_id(rows.mapInArrow(extract, "doc_id long, told long, y int, x array<double>")).toArrow().combine_chunks().sort_by("doc_id")
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
     return train(x, got.column("y").to_numpy().astype(float))
 
