@@ -159,3 +159,32 @@ def test_unigram_models(tmp_path):
         ids, offsets = encoder(pa.array([text]))
         assert ids.tolist() == encoder.reference.encode(text), text
         assert encoder.decode(ids, offsets)[0].as_py() == encoder.reference.decode(ids.tolist())
+
+
+def test_orc_files_hold_run_lengths_indexes_and_bloom_filters(spark, tmp_path, odd_docs):
+    """What the format promises, as the ORC library's own reader finds it in the files."""
+    docs = spark.range(9000).selectExpr("id * 3 AS doc_id", "repeat('word ', CAST(id % 7 AS int)) AS text")
+    path = f"file://{tmp_path}/t.orc"
+    token_orc.write_tokens(docs, path, default_vocabulary(), end_id=1, stripe_bytes=64 << 10, row_group=2000)
+    jvm = spark._jvm
+    orc, at = jvm.org.apache.orc, jvm.org.apache.hadoop.fs.Path
+    files = sorted(p for p in (tmp_path / "t.orc").iterdir() if p.suffix == ".orc")
+    assert files
+    for file in files:
+        reader = orc.OrcFile.createReader(at(str(file)), orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        assert reader.getRowIndexStride() == 2000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            streams = {(footer.getStreams(i).getColumn(), footer.getStreams(i).getKind().toString()) for i in range(footer.getStreamsCount())}
+            kinds = [footer.getColumns(i).getKind().toString() for i in range(footer.getColumnsCount())]
+            # columns: 0 row, 1 doc_id, 2 file_start, 3 n_tokens, 4 ids, 5 its elements
+            assert [kinds[i] for i in (1, 2, 3, 5)] == ["DIRECT_V2"] * 4  # integer run lengths, second version
+            assert (1, "BLOOM_FILTER_UTF8") in streams and not any(k == "BLOOM_FILTER_UTF8" and c != 1 for c, k in streams)
+            assert {(c, "ROW_INDEX") for c in range(6)} <= streams
+        rows.close()
+        reader.close()
+    whole = {r.doc_id: (r.n_tokens, r.ids) for r in token_orc.read_tokens(spark, path).collect()}
+    assert len(whole) == 9000 and all(n == len(ids) and ids[-1] == 1 for n, ids in whole.values())
+    some = token_orc.read_tokens(spark, path, [3, 4, 2997, 26_997])
+    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString() and {r.doc_id for r in some.collect()} == {3, 2997, 26_997}
