@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.ranking import numbered
@@ -96,6 +98,32 @@ def cursor_seek(log: DataFrame, key: str) -> DataFrame:
     return log.where(F.col("key") >= key).orderBy("key", F.desc("seq")).limit(1)
 
 
+class Cursor:
+    """Raw versions in key order, one at a time, tombstones visible.
+
+    ``rows`` makes the sorted rows from a key on; the driver holds one partition of them. ``seek`` goes either way, to
+    the first version at or after a key. Past the end ``row`` is None, ``advance`` does nothing, and a failed read raises.
+    """
+
+    def __init__(self, rows: Callable[[str | None], DataFrame], start: str | None = None):
+        self._from = rows
+        self.seek(start)
+
+    def seek(self, key: str | None) -> Row | None:
+        self._rest = self._from(key).toLocalIterator()
+        self.row: Row | None = next(self._rest, None)
+        return self.row
+
+    @property
+    def valid(self) -> bool:
+        return self.row is not None
+
+    def advance(self) -> Row | None:
+        if self.row is not None:
+            self.row = next(self._rest, None)
+        return self.row
+
+
 def membership(run: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted keys that a run holds, tombstones included: exact, where a filter would be probable."""
     return wanted.select("key").distinct().join(run.select("key").distinct(), "key", "left_semi")

@@ -40,7 +40,8 @@ def stats_row(run_meta: DataFrame, mem_records: int, mem_bytes: int, wal_bytes:
     )
 
 
-def stats_text(row: dict, cached: int = 0, capacity: int = 0) -> str:
+def stats_text(row: dict, cached: int, capacity: int) -> str:
+    """Three lines; the cache is counted in blocks of the configured size."""
     return f"MemTable: {row['mem_records']} records, ~{row['mem_kb']} KB\nRuns: {row['sst_files']} files\nCache: {cached}/{capacity} blocks"
 
 

@@ -1,6 +1,6 @@
 """Persistent tables: immutable key-sorted Parquet runs, a manifest, a write buffer with a log.
 
-    <root>/runs/run_id=<n>/part-*.parquet    one version a key, range-partitioned and sorted by key, Bloom filter on key
+    <root>/runs/run_id=<n>-<x>/part-*.parquet one version a key, range-partitioned and sorted by key, Bloom filter on key
     <root>/manifest/<n>.json                 the list of runs; the greatest number is current
     <root>/wal/<seq>.json                    single writes that no run holds yet
 
@@ -16,8 +16,10 @@ a run when the buffer is full.
 from __future__ import annotations
 
 import json
+import math
 import time
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -32,6 +34,9 @@ from ..schema import RECORD_OVERHEAD, RECORD_SCHEMA, RUN_META_SCHEMA, put_row, r
 from .files import Files
 
 WAL_ENTRY_LIMIT = 32 << 20
+#: A row group's Bloom filter takes the smallest of this many sizes, each half the next, that holds its keys at the
+#: configured rate: 256 bytes to 4 MB.
+BLOOM_MOST, BLOOM_SIZES = 4 << 20, 15
 
 
 @dataclass
@@ -93,10 +98,10 @@ class KVTable:
     def _current(self) -> tuple[int, dict]:
         names = [n for n in self.files.names(self.files.at("manifest")) if n.endswith(".json")]
         if not names:
-            return 0, {"runs": [], "next_run": 1, "next_seq": 1, "batches": {}}
+            return 0, {"runs": [], "next_run": 1, "next_seq": 1, "batches": {}, "wal": 0}
         try:
             state = json.loads(self.files.read(self.files.at("manifest", names[-1])))
-            return int(names[-1][:-5]), {"runs": state["runs"], "next_run": state["next_run"], "next_seq": state["next_seq"], "batches": state["batches"]}
+            return int(names[-1][:-5]), {k: state[k] for k in ("runs", "next_run", "next_seq", "batches", "wal")}
         except (ValueError, KeyError, TypeError) as e:
             raise CorruptedData(f"manifest {names[-1]}: {e}") from e
 
@@ -108,6 +113,12 @@ class KVTable:
     def refresh(self) -> None:
         """See what other writers have published since."""
         self.version, self.state = self._current()
+        self._past_buffer()
+
+    def _past_buffer(self) -> None:
+        """The next sequence number lies past what is buffered, which no manifest knows of."""
+        if self.memtable.rows:
+            self.state["next_seq"] = max(self.state["next_seq"], 1 + max(r[4] for r in self.memtable.rows.values()))
 
     def _replay(self) -> None:
         for name in self.files.names(self.files.at("wal")):
@@ -122,11 +133,10 @@ class KVTable:
                         self.memtable.insert((key, bytes.fromhex(value), ts, bool(dead), seq))
             except (ValueError, TypeError) as e:
                 raise WalCorruption(f"{name}: {e}") from e
-        if self.memtable.rows:
-            self.state["next_seq"] = max(self.state["next_seq"], 1 + max(r[4] for r in self.memtable.rows.values()))
+        self._past_buffer()
 
     def _flushed(self, seq: int) -> bool:
-        return seq <= self.state.get("batches", {}).get("wal", 0)
+        return seq <= self.state["wal"]
 
     def _log(self, rows: list[tuple]) -> None:
         entry = [(k, v.hex(), ts, dead, seq) for k, v, ts, dead, seq in rows]
@@ -173,14 +183,30 @@ class KVTable:
             self._write(rows)
         return len(rows)
 
-    def write(self, rows: DataFrame, order: Column | None = None, batch: str | None = None) -> int | None:
+    def put_if(self, key: str, value: bytes | str, expected: bytes | None) -> None:
+        """Write ``key`` in a run of its own if its published value is still ``expected`` (None: no value).
+
+        Compare and swap between processes: of two writers that read the same manifest, one publishes the next, and the
+        other gets ``ConcurrentModification``.
+        """
+        self.refresh()
+        self.flush()
+        if self.get(key) != expected:
+            raise ConcurrentModification(f"{key!r} has changed")
+        value = value.encode() if isinstance(value, str) else bytes(value)
+        self._check(key, value)
+        self._add_run(self.spark.createDataFrame([put_row(key, value, self.state["next_seq"])], RECORD_SCHEMA), None)
+
+    def write(self, rows: DataFrame, order: Column | None = None, batch: tuple[str, int] | None = None) -> int | None:
         """Append rows (key, value, and optionally is_deleted and ts_ns) as one run, in bulk.
 
         ``order``: a Column that ranks rows of one key; the greatest wins. Without it, later rows of the input win.
-        ``batch``: a name that makes the write idempotent: a second write under it changes nothing.
+        ``batch``: a stream's name and the number of one of its batches, which makes the write idempotent: batches of a
+        stream come in ascending order, so the manifest holds the greatest number of each, and a number up to that
+        changes nothing.
         Returns the run's id, or None if nothing was written.
         """
-        if batch is not None and batch in self.state["batches"]:
+        if batch is not None and batch[1] <= self.state["batches"].get(batch[0], -1):
             return None
         self.flush()  # what is buffered is older than this
         base = self.state["next_seq"]
@@ -212,11 +238,13 @@ class KVTable:
         return run
 
     def write_run(self, log: DataFrame, run_id: int) -> dict:
-        """Write the one-version-a-key ``log`` as a run and describe it."""
-        path = self.files.at("runs", f"run_id={run_id}")
+        """Write the one-version-a-key ``log`` as a run and describe it. Of two writers, neither touches the other's files."""
+        path = self.files.at("runs", f"run_id={run_id}-{uuid.uuid4().hex[:12]}")
         (
-            log.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "lz4_raw")
-            .option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.bloom_false_positive_rate)).option("parquet.page.size", str(max(self.config.block_size, 64 << 10)))
+            log.repartitionByRange("key").sortWithinPartitions("key").write.option("compression", "lz4_raw")
+            .option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.bloom_false_positive_rate))
+            .option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number#key", BLOOM_SIZES).option("parquet.bloom.filter.max.bytes", BLOOM_MOST)
+            .option("parquet.page.size", str(max(self.config.block_size, 64 << 10)))
             .option("parquet.page.write-checksum.enabled", "true").parquet(path)
         )
         row = self.spark.read.schema(RECORD_SCHEMA).parquet(path).agg(F.count(F.lit(1)), F.min("key"), F.max("key"), F.min("seq"), F.max("seq")).first()
@@ -225,19 +253,24 @@ class KVTable:
             raise EmptyRun("a run needs at least one record")
         return {"run_id": run_id, "record_count": row[0], "min_key": row[1], "max_key": row[2], "min_seq": row[3], "max_seq": row[4], "bytes": self.files.size(path), "created_ns": time.time_ns(), "path": path}
 
-    def _add_run(self, log: DataFrame, batch: str | None, wal: int | None = None) -> int | None:
+    def _add_run(self, log: DataFrame, batch: tuple[str, int] | None, wal: int | None = None) -> int | None:
         run_id = self.state["next_run"]
-        state = self.state | {"next_run": run_id + 1, "batches": dict(self.state["batches"])}
+        state = self.state | {"next_run": run_id + 1}
         try:
             meta = self.write_run(log, run_id)
             state |= {"runs": [*self.state["runs"], meta], "next_seq": max(self.state["next_seq"], meta["max_seq"] + 1)}
         except EmptyRun:
             meta = None
         if batch is not None:
-            state["batches"][batch] = run_id
+            state["batches"] = self.state["batches"] | {batch[0]: batch[1]}
         if wal is not None:
-            state["batches"]["wal"] = wal
-        self._publish(state)
+            state["wal"] = wal
+        try:
+            self._publish(state)
+        except ConcurrentModification:
+            if meta:
+                self.files.delete(meta["path"])
+            raise
         return meta and meta["run_id"]
 
     def replace_runs(self, old: list[int], new: dict | None) -> None:
@@ -289,6 +322,16 @@ class KVTable:
     def cached(self) -> StorageLevel | None:
         return None if self._kept is None else self._kept.storageLevel
 
+    def cached_bytes(self) -> int:
+        """What the kept snapshot takes in the executors' memory and on their disks by now."""
+        if self._kept is None:
+            return 0
+        held = self.spark._jsparkSession.sharedState().cacheManager().lookupCachedData(self._kept._jdf)
+        if held.isEmpty():
+            return 0
+        rdd = held.get().cachedRepresentation().cacheBuilder().cachedColumnBuffers().id()
+        return sum(i.memSize() + i.diskSize() for i in self.spark.sparkContext._jsc.sc().getRDDStorageInfo() if i.id() == rdd)
+
     def unpersist(self) -> None:
         if self._kept is not None:
             self._kept.unpersist()
@@ -324,11 +367,14 @@ class KVTable:
     def scan(self) -> DataFrame:
         return query.scan(self.snapshot())
 
+    def live_keys(self) -> DataFrame:
+        return live_keys(self.log(), merged=self._merged(self.runs))
+
     def keys(self) -> DataFrame:
-        return live_keys(self.log(), merged=self._merged(self.runs)).orderBy("key")
+        return self.live_keys().orderBy("key")
 
     def count(self) -> int:
-        return live_keys(self.log(), merged=self._merged(self.runs)).count()
+        return self.live_keys().count()
 
     def search(self, pattern: str) -> DataFrame:
         return query.search(self.snapshot(), pattern)
@@ -350,6 +396,14 @@ class KVTable:
     def cursor(self, start: str | None = None) -> DataFrame:
         return query.cursor(self.log(self.pruned(start)), start)
 
+    def pull(self, start: str | None = None) -> query.Cursor:
+        """A cursor over raw versions that the caller advances row by row."""
+        return query.Cursor(self.cursor, start)
+
+    def records(self, start: str | None = None, stop: str | None = None) -> Iterator[tuple[str, bytes]]:
+        """Live records in key order, ``stop`` exclusive; the driver holds one partition at a time."""
+        return ((r["key"], bytes(r["value"])) for r in self.range_scan(start, stop).toLocalIterator())
+
     def wal_bytes(self) -> int:
         return self.files.size(self.files.at("wal"))
 
@@ -357,7 +411,8 @@ class KVTable:
         return stats.stats_row(self.run_meta(), len(self.memtable.rows), self.memtable.size_bytes, self.wal_bytes(), self.config.memtable_max_size)
 
     def stats(self) -> str:
-        return stats.stats_text(self.stats_all().first().asDict(), capacity=max(1, self.config.block_cache_size_mb * (1 << 20) // self.config.block_size))
+        block = self.config.block_size
+        return stats.stats_text(self.stats_all().first().asDict(), math.ceil(self.cached_bytes() / block), max(1, self.config.block_cache_size_mb * (1 << 20) // block))
 
     def verify(self) -> None:
         """Read every run whole and compare it with the manifest."""

@@ -1,7 +1,7 @@
 """Streams into tables, and rates of streams.
 
-``foreachBatch`` delivers at least once, so each micro-batch is written under a name made of the stream's and the
-batch's; a replay finds the name in the manifest and adds nothing. The checkpoint takes the place of a write-ahead log.
+``foreachBatch`` delivers at least once, so each micro-batch is written under the stream's name and the batch's number;
+a replay finds in the manifest that the stream is past that number and adds nothing. The checkpoint takes the place of a write-ahead log.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def batch_writer(table: KVTable, name: str, order: Column | None = None) -> Call
     """The function that writes one micro-batch: newest version a key, one run, once."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        table.write(rows, order=order, batch=f"{name}/{batch_id}")
+        table.write(rows, order=order, batch=(name, batch_id))
 
     return write
 

@@ -97,13 +97,95 @@ def test_second_writer_is_refused(spark, tmp_path):
 
 def test_bulk_write_last_row_wins_and_batches_are_idempotent(spark, table):
     rows = spark.createDataFrame([("a", "1"), ("b", "1"), ("a", "2")], "key string, value string").coalesce(1)
-    assert table.write(rows, batch="s/0") == 1 and table.write(rows, batch="s/0") is None
+    assert table.write(rows, batch=("s", 0)) == 1 and table.write(rows, batch=("s", 0)) is None
     assert pairs(table.scan()) == {"a": b"2", "b": b"1"} and table.runs[0]["record_count"] == 2
     ordered = spark.createDataFrame([("a", "9", 5), ("a", "8", 4)], "key string, value string, n int")
     table.write(ordered, order=F.col("n"))
     assert table.get("a") == b"9"
 
 
+def test_streams_leave_one_number_each_in_the_manifest(spark, table):
+    rows = lambda v: spark.createDataFrame([("k", v)], "key string, value string")
+    for i in range(3):
+        table.write(rows(f"a{i}"), batch=("a", i))
+    table.write(rows("b0"), batch=("b", 0))
+    assert table.write(rows("late"), batch=("a", 1)) is None and table.state["batches"] == {"a": 2, "b": 0}
+    again = KVTable.open(spark, table.files.root)
+    assert again.write(rows("late"), batch=("a", 2)) is None and again.write(rows("new"), batch=("a", 3)) and again.get("k") == b"new"
+
+
+@pytest.mark.parametrize("meanwhile", [KVTable.refresh, vacuum])
+def test_buffered_writes_outlive_refresh_and_vacuum(spark, table, meanwhile):
+    table.put("a", "1")
+    meanwhile(table)
+    table.put("b", "2")
+    table.put("a", "3")
+    assert pairs(table.scan()) == {"a": b"3", "b": b"2"} == pairs(KVTable.open(spark, table.files.root).scan())
+    table.flush()
+    meanwhile(table)
+    table.put("a", "4")
+    assert pairs(KVTable.open(spark, table.files.root).scan()) == {"a": b"4", "b": b"2"}
+
+
+def test_refused_writer_leaves_the_winners_run_alone(spark, tmp_path):
+    a, b = KVTable.open(spark, str(tmp_path)), KVTable.open(spark, str(tmp_path))
+    a.write(spark.createDataFrame([("k", "winner")], "key string, value string"))
+    with pytest.raises(ConcurrentModification):
+        b.write(spark.createDataFrame([("k", "loser")], "key string, value string"))
+    assert KVTable.open(spark, str(tmp_path)).get("k") == b"winner" and len(list((tmp_path / "runs").iterdir())) == 1
+
+
+def test_put_if_is_a_swap_between_writers(spark, tmp_path):
+    a, b = KVTable.open(spark, str(tmp_path)), KVTable.open(spark, str(tmp_path))
+    a.put_if("k", "1", None)
+    with pytest.raises(ConcurrentModification):
+        b.put_if("k", "2", None)
+    b.put_if("k", "2", b"1")
+    a.refresh()
+    assert a.get("k") == b"2"
+    # the other writer publishes between the check and the write
+    real = a._add_run
+    a._add_run = lambda *args, **kw: (b.put_if("k", "3", b"2"), real(*args, **kw))[1]
+    with pytest.raises(ConcurrentModification):
+        a.put_if("k", "lost", b"2")
+    assert KVTable.open(spark, str(tmp_path)).get("k") == b"3"
+
+
+def test_flags_changed_by_two_processes_are_all_kept(spark, tmp_path):
+    from kvspark.frontend.features import FeatureClient
+
+    a, b = (FeatureClient(KVTable.open(spark, str(tmp_path)), ttl_s=60) for _ in range(2))
+    a.set_flag("x", True)
+    b.set_flag("y", True)
+    a.set_flag("z", True)
+    b.set_flag("x", False)
+    doc = FeatureClient(KVTable.open(spark, str(tmp_path))).load()
+    assert doc["version"] == 4 and {k: f["enabled"] for k, f in doc["flags"].items()} == {"x": False, "y": True, "z": True}
+
+
+def test_bloom_filters_follow_rows_and_rate(spark, tmp_path):
+    size = {}
+    for n in (1000, 50_000):
+        for rate in (0.5, 0.001):
+            t = KVTable.open(spark, str(tmp_path / f"{n} {rate}"), Config(bloom_false_positive_rate=rate))
+            t.write(spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit("v").alias("value")))
+            size[n, rate] = t.runs[0]["bytes"]
+    assert max(size[1000, 0.5], size[1000, 0.001]) < 30_000
+    assert size[1000, 0.5] < size[1000, 0.001] and size[50_000, 0.5] < 0.9 * size[50_000, 0.001]
+
+
+def test_pull_cursor(spark, table):
+    table.write(spark.createDataFrame([(f"key_{i:03d}", str(i)) for i in (1, 10, 20, 30, 100)], "key string, value string"))
+    table.delete("key_020")
+    c = table.pull()
+    assert c.row.key == "key_001" and c.advance().key == "key_010"
+    assert c.seek("key_015").key == "key_020" and c.row.is_deleted and not c.advance().is_deleted  # the tombstone, then the value under it
+    assert c.seek("key_000").key == "key_001"  # backwards too
+    assert c.seek("key_100").key == "key_100" and c.advance() is None and not c.valid and c.advance() is None
+    assert c.seek("key_999") is None
+    assert list(table.records("key_010", "key_100")) == [("key_010", b"10"), ("key_030", b"30")]
+
+
 def test_empty_writes(spark, table):
     assert table.flush() is None and table.set_batch([]) == 0
     assert table.write(spark.createDataFrame([], "key string, value string")) is None
@@ -252,6 +334,8 @@ def test_persisted_snapshot(spark, table):
     table.flush()
     kept = table.persist()
     table.put("a", "2")
+    kept.count()
+    assert "Cache: 0/" in KVTable.open(spark, table.files.root).stats() and 0 < table.cached_bytes() < 100_000 and "Cache: 0/" not in table.stats()
     assert table.cached().useMemory and [bytes(r.value) for r in kept.collect()] == [b"1"] and table.get("a") == b"2"
     table.unpersist()
     assert table.cached() is None
