@@ -1,4 +1,4 @@
-"""``python -m kvspark repl|serve <root>``: the command line, or the HTTP server, over one table."""
+"""``python -m kvspark repl|dashboard|serve <root>``: the command line, the timed one, or the HTTP server, over one table."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from .config import Config, ServerConfig
 from .frontend.auth import ADMIN
+from .frontend.dashboard import Dashboard
 from .frontend.http import Api, serve
 from .frontend.repl import Repl
 from .sources.store import KVTable
@@ -15,7 +16,7 @@ from .sources.store import KVTable
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="kvspark", description=__doc__)
-    parser.add_argument("command", choices=("repl", "serve"))
+    parser.add_argument("command", choices=("repl", "dashboard", "serve"))
     parser.add_argument("root", help="address of the table")
     parser.add_argument("--memtable-max-size", type=int, default=Config.memtable_max_size)
     parser.add_argument("--skip-corrupt", action="store_true", help="open without the runs that are gone")
@@ -25,6 +26,9 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "repl":
         Repl(table, limit=None).run()
         return
+    if args.command == "dashboard":
+        Dashboard(table).run()
+        return
     config = ServerConfig.from_env()
     api = Api(table, config)
     if config.auth_enabled:

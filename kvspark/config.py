@@ -59,6 +59,7 @@ class ServerConfig:
     feature_cache_ttl_secs: int = 10
     auth_enabled: bool = False
     token_expiry_days: int | None = 30
+    page_size: int = 10_000
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> ServerConfig:
@@ -75,4 +76,5 @@ class ServerConfig:
             host=env.get("HOST", cls.host), port=number("PORT", cls.port), max_json_payload_size=number("MAX_JSON_PAYLOAD_SIZE", cls.max_json_payload_size),
             max_raw_payload_size=number("MAX_RAW_PAYLOAD_SIZE", cls.max_raw_payload_size), feature_cache_ttl_secs=number("FEATURE_CACHE_TTL", cls.feature_cache_ttl_secs),
             auth_enabled=env.get("API_AUTH_ENABLED", "false") == "true", token_expiry_days=number("API_TOKEN_EXPIRY_DAYS", None),
+            page_size=max(1, number("PAGE_SIZE", cls.page_size)),
         )

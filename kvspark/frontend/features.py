@@ -31,7 +31,10 @@ def enabled(documents: DataFrame, name: str, column: str = "value") -> DataFrame
 
 
 class FeatureClient:
-    """Reads through a cache of ``ttl_s`` seconds; updates read, change and write, and check the version in between."""
+    """Reads through a cache of ``ttl_s`` seconds. Updates read, change, and swap the document if it is still the one read.
+
+    The swap is the table's (``KVTable.put_if``), so it holds between processes too; a lost race is tried again.
+    """
 
     def __init__(self, table: KVTable, ttl_s: float = 10.0):
         self.table, self.ttl_s = table, ttl_s
@@ -39,8 +42,10 @@ class FeatureClient:
 
     def _stored(self) -> dict | None:
         raw = self.table.get(KEY)
-        if raw is None:
-            return None
+        return None if raw is None else self._parse(raw)
+
+    @staticmethod
+    def _parse(raw: bytes) -> dict:
         try:
             doc = json.loads(raw)
             return {"version": int(doc.get("version", 0)), "flags": {k: {"enabled": bool(f["enabled"]), "description": f.get("description", "")} for k, f in doc.get("flags", {}).items()}}
@@ -67,14 +72,13 @@ class FeatureClient:
     def _change(self, change) -> bool:
         for attempt in range(RETRIES):
             try:
-                doc = self._stored() or {"version": 0, "flags": {}}
+                self.table.refresh()
+                raw = self.table.get(KEY)
+                doc = {"version": 0, "flags": {}} if raw is None else self._parse(raw)
                 flags = dict(doc["flags"])
                 done = change(flags)
                 if done:
-                    now = self._stored() or {"version": 0}
-                    if now["version"] != doc["version"]:
-                        raise ConcurrentModification("the feature document changed meanwhile")
-                    self.table.put(KEY, json.dumps({"version": doc["version"] + 1, "flags": flags}))
+                    self.table.put_if(KEY, json.dumps({"version": doc["version"] + 1, "flags": flags}), raw)
                     self._cached = None
                 return done
             except KVError:

@@ -1,7 +1,8 @@
 """HTTP edge on the standard library: the table's operations as JSON routes, with permissions enforced.
 
 Fixed paths are matched before ``/keys/{key}``, so a key may have any name but searching still works. One lock guards
-the table's writer; reads run in parallel.
+the table's writer; reads run in parallel. Listings come in pages of at most ``page_size`` rows (``?limit=`` asks for
+fewer): a page that is not the last names the key to go on after as ``next``, for ``?after=``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
+from pyspark.sql import DataFrame
+
 from ..config import ServerConfig
 from ..errors import KVError
 from ..operators import query
@@ -129,28 +132,39 @@ class Api:
             n = self.table.delete_batch(keys)
         return 200, envelope(True, f"{n} keys deleted", {"count": n})
 
+    def _page(self, rows: DataFrame, ask: dict) -> tuple[list, dict]:
+        """The rows of one page, and where the next one starts."""
+        most = self.config.page_size
+        if "limit" in ask:
+            if not ask["limit"].isdigit() or int(ask["limit"]) < 1:
+                raise BadRequest("parameter limit must be a whole number from 1 on")
+            most = min(most, int(ask["limit"]))
+        got = query.page_after(rows, ask.get("after"), most + 1).collect()
+        return got[:most], {"next": got[most - 1].key} if len(got) > most else {}
+
     def _keys(self, ask, body):
-        keys = [r.key for r in query.without_system(self.table.keys()).collect()]
-        return 200, envelope(True, f"{len(keys)} keys found", {"keys": keys})
+        rows, more = self._page(query.without_system(self.table.live_keys()), ask)
+        return 200, envelope(True, f"{len(rows)} keys found", {"keys": [r.key for r in rows]} | more)
 
-    def _records(self, rows, message: str):
-        records = [{"key": r.key, "value": r.value} for r in query.as_text(rows).collect()]
-        return 200, envelope(True, message.format(n=len(records)), {"records": records})
+    def _records(self, rows: DataFrame, ask: dict, message: str):
+        got, more = self._page(query.as_text(rows), ask)
+        return 200, envelope(True, message.format(n=len(got)), {"records": [{"key": r.key, "value": r.value} for r in got]} | more)
 
     def _search(self, ask, body):
         if "q" not in ask:
             raise BadRequest("parameter q is missing")
         by_prefix = ask.get("prefix", "false").lower() == "true"
         found = self.table.search_prefix(ask["q"]) if by_prefix else self.table.search(ask["q"])
-        return self._records(found, "{n} keys found")
+        return self._records(found, ask, "{n} keys found")
 
     def _scan(self, ask, body):
         rows = self.table.search_prefix(ask["prefix"]) if ask.get("prefix") else self.table.scan()
-        return self._records(query.without_system(rows), "{n} records found")
+        return self._records(query.without_system(rows), ask, "{n} records found")
 
     def _features(self, ask, body):
-        flags = [{"name": k, **v} for k, v in sorted(self.features.list_all().items())]
-        return 200, envelope(True, f"{len(flags)} features found", {"features": flags})
+        doc = self.features.load()
+        flags = [{"name": k, **v} for k, v in sorted(doc["flags"].items())]
+        return 200, envelope(True, f"{len(flags)} features found", {"version": doc["version"], "features": flags})
 
     def _set_feature(self, name: str, body):
         on = _need(body, "enabled", bool)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import sys
 import time
@@ -36,7 +37,7 @@ def _text(value: bytes) -> str:
 
 class Repl:
     def __init__(self, table: KVTable, out: TextIO | None = None, limit: int | None = None):
-        """``limit``: rows that listings show at most; the rest is counted. None shows all."""
+        """``limit``: rows that listings show at most; the rest is counted. None shows all, read a partition at a time."""
         self.table, self.out, self.limit = table, out or sys.stdout, limit
         self.verbs: dict[str, Callable[[list[str]], None]] = {
             "SET": self._set, "GET": self._get, "DELETE": self._delete, "DEL": self._delete, "SEARCH": self._search, "SCAN": self._scan, "ALL": self._all, "KEYS": self._keys,
@@ -94,19 +95,18 @@ class Repl:
             self._say(f"'{args[0]}' deleted")
 
     def _list(self, rows, none: str, head: str) -> None:
-        if self.limit is None:
-            got, more = rows.collect(), 0
-        else:
-            got = rows.limit(self.limit).collect()
-            more = rows.count() - len(got) if len(got) == self.limit else 0
-        if not got:
+        n = rows.count()
+        if not n:
             self._say(none)
             return
-        self._say(head.format(n=len(got) + more))
-        for r in got:
-            self._say("  " + " = ".join(_text(x) if isinstance(x, (bytes, bytearray)) else str(x) for x in r))
-        if more:
-            self._say(f"  ... and {more} more")
+        self._say(head.format(n=n))
+        for i, r in enumerate(rows.toLocalIterator() if self.limit is None else rows.limit(self.limit).collect(), 1):
+            self._say(self._line(i, r))
+        if self.limit is not None and n > self.limit:
+            self._say(f"  ... and {n - self.limit} more")
+
+    def _line(self, number: int, row) -> str:
+        return "  " + " = ".join(_text(x) if isinstance(x, (bytes, bytearray)) else str(x) for x in row)
 
     def _search(self, args: list[str]) -> None:
         if self._needs(args, 1, "SEARCH <text> [--prefix]"):
@@ -118,21 +118,22 @@ class Repl:
             self._list(self.table.search_prefix(args[0]), f"No records with prefix '{args[0]}'", "{n} records with prefix '" + args[0].replace("{", "{{").replace("}", "}}") + "':")
 
     def _all(self, _: list[str]) -> None:
-        rows = query.table_view(self.table.scan(), SHOWN).collect()
-        if not rows:
+        rows = query.table_view(self.table.scan(), SHOWN).toLocalIterator()
+        first = next(rows, None)
+        if first is None:
             self._say("The table is empty")
             return
         bar = "+" + "-" * (SHOWN + 2) + "+" + "-" * (SHOWN + 2) + "+"
         self._say(bar)
-        for key, value in [("Key", "Value"), *rows]:
+        for key, value in itertools.chain([("Key", "Value"), first], rows):
             self._say(f"| {key:<{SHOWN}} | {value:<{SHOWN}} |")
         self._say(bar)
 
     def _keys(self, _: list[str]) -> None:
-        keys = [r.key for r in self.table.keys().collect()]
-        self._say(f"{len(keys)} keys" if keys else "No keys found")
-        for i, key in enumerate(keys, 1):
-            self._say(f"  {i}. {key}")
+        n = self.table.count()
+        self._say(f"{n} keys" if n else "No keys found")
+        for i, r in enumerate(self.table.keys().toLocalIterator(), 1):
+            self._say(f"  {i}. {r.key}")
 
     def _stats(self, args: list[str]) -> None:
         if args and args[0].upper() == "ALL":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Request bodies. Every record needs key and value, as strings.
@@ -22,10 +22,22 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, rows.where(at == 0).select("seq", "line")
 
 
-def import_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``parse_lines`` of a text file. Each file is read whole, so that lines carry their number as ``seq``."""
-    files = spark.read.text(path, wholetext=True)
-    return parse_lines(files.select(F.posexplode(F.split("value", "\n")).alias("at", "line")).select("line", (F.col("at") + 1).cast("long").alias("seq")))
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(line, seq) of text files: lines are numbered from 1 through all files, in the order of the files' addresses.
+
+    Files are read in splits. A line's number is its place in its split after all lines of the splits before; only the
+    splits' counts, one row a split, are put in order.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return lines.join(splits, ["file", "block"]).select("line", (F.col("base") + F.col("at") + 1).alias("seq"))
+
+
+def import_text(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """``parse_lines`` of text files; a later file's line wins over an earlier one's, and later lines within a file."""
+    return parse_lines(numbered_lines(spark, path))
 
 
 def synthetic(spark: SparkSession, n: int, width: int | None = None) -> DataFrame:
@@ -35,13 +47,21 @@ def synthetic(spark: SparkSession, n: int, width: int | None = None) -> DataFram
     return spark.range(n).select(F.concat(F.lit("batch:"), number).alias("key"), F.concat(F.lit("value_"), digits).alias("value"), F.col("id").alias("seq"))
 
 
-def json_puts(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """Records of JSON bodies ``{"records": [{"key": .., "value": ..}]}``; (key, value, seq) in the order of the array."""
-    parsed = bodies.select(F.from_json(F.col(column), SET_BATCH, {"mode": "FAILFAST"}).alias("b"))
-    return parsed.select(F.posexplode("b.records").alias("seq", "r")).select("r.key", "r.value", F.col("seq").cast("long").alias("seq"))
+def _parsed(bodies: DataFrame, column: str, schema: str, order: str | None) -> DataFrame:
+    arrived = F.monotonically_increasing_id() if order is None else F.col(order)
+    return bodies.select(arrived.alias("arrived"), F.from_json(F.col(column), schema, {"mode": "FAILFAST"}).alias("b"))
+
+
+def json_puts(bodies: DataFrame, column: str = "body", order: str | None = None) -> DataFrame:
+    """Records of JSON bodies ``{"records": [{"key": .., "value": ..}]}``: key, value, arrived, at.
+
+    ``arrived`` ranks bodies: the column ``order``, else their place in the input; ``at`` is the place in the array. So
+    ``struct(arrived, at)`` is the order of arrival over all bodies, for ``KVTable.write``.
+    """
+    return _parsed(bodies, column, SET_BATCH, order).select("arrived", F.posexplode("b.records").alias("at", "r")).select("r.key", "r.value", "arrived", F.col("at").cast("long").alias("at"))
 
 
-def json_deletes(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """Keys of JSON bodies ``{"keys": [..]}`` as tombstones: key, value, is_deleted, seq."""
-    parsed = bodies.select(F.from_json(F.col(column), DELETE_BATCH, {"mode": "FAILFAST"}).alias("b"))
-    return parsed.select(F.posexplode("b.keys").alias("seq", "key")).select("key", F.lit("").alias("value"), F.lit(True).alias("is_deleted"), F.col("seq").cast("long").alias("seq"))
+def json_deletes(bodies: DataFrame, column: str = "body", order: str | None = None) -> DataFrame:
+    """Keys of JSON bodies ``{"keys": [..]}`` as tombstones: key, value, is_deleted, arrived, at (see ``json_puts``)."""
+    rows = _parsed(bodies, column, DELETE_BATCH, order).select("arrived", F.posexplode("b.keys").alias("at", "key"))
+    return rows.select("key", F.lit("").alias("value"), F.lit(True).alias("is_deleted"), "arrived", F.col("at").cast("long").alias("at"))

@@ -43,13 +43,18 @@ def test_text_import(spark, tmp_path, table):
     assert {(r.key, r.value) for r in back.collect()} == {("user:1", "Ann again"), ("user:2", "Bo = b")} and wrong.count() == 0
 
 
-def test_synthetic_and_json(spark):
+def test_synthetic_and_json(spark, table):
     assert [(r.key, r.value) for r in synthetic(spark, 2).collect()] == [("batch:0", "value_0"), ("batch:1", "value_1")]
     assert synthetic(spark, 3, 6).orderBy("seq").collect()[2].key == "batch:000002"
     body = spark.createDataFrame([('{"records": [{"key": "a", "value": "1"}, {"key": "a", "value": "2"}]}',)], "body string")
-    assert [(r.key, r.value, r.seq) for r in json_puts(body).collect()] == [("a", "1", 0), ("a", "2", 1)]
+    assert [(r.key, r.value, r.at) for r in json_puts(body).collect()] == [("a", "1", 0), ("a", "2", 1)]
     gone = spark.createDataFrame([('{"keys": ["a", "b"]}',)], "body string")
     assert [(r.key, r.is_deleted) for r in json_deletes(gone).collect()] == [("a", True), ("b", True)]
+    two = spark.createDataFrame([(i, json.dumps({"records": [{"key": "a", "value": f"{i}{c}"} for c in "xy"]})) for i in (9, 3)], "n long, body string").repartition(2)
+    table.write(json_puts(two, order="n"), order=F.struct("arrived", "at"))
+    assert table.get("a") == b"9y"  # the last record of the body that came last
+    table.write(json_deletes(two.select("n", F.lit('{"keys": ["a", "zz"]}').alias("body")), order="n"), order=F.struct("arrived", "at"))
+    assert table.get("a") is None and table.count() == 0
     with pytest.raises(Exception, match="MALFORMED|parse"):
         json_puts(spark.createDataFrame([("{",)], "body string")).collect()
     shown = spark.range(1).select(json_envelope(F.lit(True), F.lit("m"), F.lit(None).cast("string")).alias("j")).first().j
@@ -141,6 +146,38 @@ def test_repl(spark, table, tmp_path):
     assert "3 records found" in small.getvalue() and "... and 1 more" in small.getvalue()
 
 
+def test_dashboard(spark, table):
+    from kvspark.frontend.dashboard import Dashboard, Gauge
+
+    out = io.StringIO()
+    Dashboard(table, out).run(iter(["DEMO", "KEYS", "ALL", "SEARCH demo:001", "FILL", "GET demo:0000", "GET demo:0099", "COUNT", "", "Q"]))
+    said = out.getvalue()
+    for part in ("100 SET done", "10 GET done", "10 DEL done", "90 live keys", "90 keys", "30. demo:0039", "... and 60 more", "90 records:", "... and 70 more", "10 records found", "Buffer ", "'demo:0000' not found", "'demo-value-99'", " ms, ", "Bye"):
+        assert part in said, part
+    now = [0.0]
+    gauge = Gauge(lambda: now[0])
+    for _ in range(100):
+        now[0] += 0.125
+        gauge.add(2)
+    assert gauge.rate == 16.0 and len(gauge.history) == 24 and gauge.total == 200
+
+
+def test_lines_are_numbered_through_files(spark, tmp_path, table):
+    (tmp_path / "in").mkdir()
+    for name, lines in (("a", [f"k{i}=a{i}" for i in range(3000)]), ("b", []), ("c", ["k7=c7", "bad", "k7=c8"])):
+        (tmp_path / "in" / name).write_text("".join(f"{x}\n" for x in lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        records, errors = import_text(spark, str(tmp_path / "in"))
+        assert [r.seq for r in records.orderBy("seq").collect()] == [*range(1, 3002), 3003] and errors.first().seq == 3002
+        assert all(r.key == f"k{r.seq - 1}" for r in records.where("seq <= 3000").collect()) and records.rdd.getNumPartitions() >= 2
+        table.write(records, order=F.col("seq"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert table.get("k7") == b"c8" and table.count() == 3000
+
+
 def test_repl_demo(spark, table):
     out = io.StringIO()
     Repl(table, out).execute("DEMO")
@@ -156,9 +193,13 @@ def test_http(spark, table):
     assert api.handle("GET", "/keys/a%20b%2Fc")[1]["data"] == {"key": "a b/c", "value": "1"}
     assert api.handle("GET", "/keys/none")[0] == 404
     assert put("/features/f", {"enabled": True, "description": "d"})[0] == 200 and put("/features/f", {"enabled": False})[0] == 200
-    assert api.handle("GET", "/features")[1]["data"]["features"] == [{"name": "f", "enabled": False, "description": "d"}]
+    assert api.handle("GET", "/features")[1]["data"] == {"version": 2, "features": [{"name": "f", "enabled": False, "description": "d"}]}
     assert api.handle("GET", "/keys")[1]["data"]["keys"] == ["a b/c", "search", "user:1"]
     assert [r["key"] for r in api.handle("GET", "/scan")[1]["data"]["records"]] == ["a b/c", "search", "user:1"]
+    assert api.handle("GET", "/keys?limit=2")[1]["data"] == {"keys": ["a b/c", "search"], "next": "search"}
+    assert api.handle("GET", "/keys?limit=2&after=search")[1]["data"] == {"keys": ["user:1"]}
+    assert api.handle("GET", "/scan?limit=1&after=a%20b%2Fc")[1]["data"] == {"records": [{"key": "search", "value": "y"}], "next": "search"}
+    assert api.handle("GET", "/keys?limit=0")[0] == 400 and api.handle("GET", "/keys?limit=x")[0] == 400
     assert [r["key"] for r in api.handle("GET", "/scan?prefix=user")[1]["data"]["records"]] == ["user:1"]
     assert [r["key"] for r in api.handle("GET", "/keys/search?q=er")[1]["data"]["records"]] == ["user:1"]
     assert api.handle("GET", "/keys/search?q=feature&prefix=true")[1]["data"]["records"][0]["key"] == "feature:all"
