@@ -17,9 +17,15 @@ def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_log(e, F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.col("props"), F.col("event_id"), F.col("event_type") == "error")
 
 
+def user_cut(spark: SparkSession, sf_dir: str) -> int:
+    """The middle of the user log's sequence numbers."""
+    last = _table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    return 0 if last is None else (last + 1) // 2
+
+
 def user_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log in two runs, cut in the middle of its sequence numbers."""
-    return user_log(spark, sf_dir).withColumn("run_id", F.floor(F.col("seq") / 5000).cast("long"))
+    """The same log in two runs, 0 and 1, cut in the middle."""
+    return user_log(spark, sf_dir).withColumn("run_id", (F.col("seq") >= user_cut(spark, sf_dir)).cast("long"))
 
 
 def customer_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ Values are given as text, so that both sides compare strings.
 
 from __future__ import annotations
 
+import atexit
+import json
+import shutil
 import tempfile
 from collections.abc import Callable
 from uuid import uuid4
@@ -17,18 +20,19 @@ from ..frontend import features
 from ..operators import query, stats
 from ..operators.compact import compact
 from ..operators.snapshot import live, live_keys, merge_runs, newest_wins, newest_wins_by_aggregate
-from ..sources.ingest import json_deletes, json_puts, parse_lines, synthetic
+from ..sources.ingest import import_text, json_deletes, json_puts, parse_lines, synthetic
 from ..sources.sinks import json_rows
 from ..sources.store import KVTable
 from ..schema import record_size as size_of
-from .logs import customer_log, document_log, page_log, turn_log, user_log, user_runs
+from ..streaming import into_table
+from .logs import customer_log, document_log, page_log, turn_log, user_cut, user_log, user_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 LOG = """WITH log AS (SELECT 'user:' || user_id AS key, CASE WHEN event_type = 'error' THEN '' ELSE props END AS value, event_id AS seq,
-  event_type = 'error' AS is_deleted FROM events),
+  event_type = 'error' AS is_deleted, (event_id >= (SELECT (max(event_id) + 1) // 2 FROM events))::BIGINT AS run_id FROM events),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log),
 live AS (SELECT key, value FROM ranked WHERE r = 1 AND NOT is_deleted) """
 DOC_LOG = "WITH live AS (SELECT 'doc:' || lang || ':' || source || ':' || doc_id AS key, coalesce(text, '') AS value FROM documents) "
@@ -163,13 +167,13 @@ def cursor_seek(spark, sf_dir):
     return query.cursor_seek(user_log(spark, sf_dir), "user:45").select("key", lossy_text("value").alias("value"), "seq", "is_deleted")
 
 
-@_query(LOG + "SELECT DISTINCT key FROM log WHERE seq >= 5000 AND key IN (SELECT 'user:' || c_custkey FROM customer)")
+@_query(LOG + "SELECT DISTINCT key FROM log WHERE run_id = 1 AND key IN (SELECT 'user:' || c_custkey FROM customer)")
 def run_membership(spark, sf_dir):
     wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
-    return query.membership(user_log(spark, sf_dir).where("seq >= 5000"), wanted)
+    return query.membership(user_runs(spark, sf_dir).where("run_id = 1"), wanted)
 
 
-@_query(LOG + "SELECT key, value, seq FROM log WHERE seq // 5000 = 1 AND key = 'user:11'")
+@_query(LOG + "SELECT key, value, seq FROM log WHERE run_id = 1 AND key = 'user:11'")
 def run_get(spark, sf_dir):
     return user_runs(spark, sf_dir).where((F.col("run_id") == 1) & (F.col("key") == "user:11")).select("key", lossy_text("value").alias("value"), "seq")
 
@@ -184,25 +188,25 @@ def version_count(spark, sf_dir):
     return stats.versions_by_key(user_log(spark, sf_dir))
 
 
-@_query(LOG + "SELECT seq // 5000 AS run_id, count(*) AS record_count, min(key) AS min_key, max(key) AS max_key FROM log GROUP BY ALL")
+@_query(LOG + "SELECT run_id, count(*) AS record_count, min(key) AS min_key, max(key) AS max_key FROM log GROUP BY ALL")
 def run_stats(spark, sf_dir):
     return stats.run_stats(user_runs(spark, sf_dir))
 
 
-@_query(LOG + "SELECT count(DISTINCT seq // 5000) AS runs, count(*) AS records, sum(strlen(key) + strlen(value) + 32)::BIGINT AS bytes FROM log")
+@_query(LOG + "SELECT count(DISTINCT run_id) AS runs, count(*) AS records, sum(strlen(key) + strlen(value) + 32)::BIGINT AS bytes FROM log")
 def storage_totals(spark, sf_dir):
     runs = user_runs(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("record_count"), F.sum(size_of()).alias("bytes"))
     return stats.storage_totals(runs)
 
 
-@_query(LOG + """, t AS (SELECT count(DISTINCT seq // 5000) AS runs, count(*) AS records, sum(strlen(key) + strlen(value) + 32)::BIGINT AS bytes FROM log)
+@_query(LOG + """, t AS (SELECT count(DISTINCT run_id) AS runs, count(*) AS records, sum(strlen(key) + strlen(value) + 32)::BIGINT AS bytes FROM log)
 SELECT 10::BIGINT AS mem_records, 2::BIGINT AS mem_kb, runs AS sst_files, records AS sst_records, bytes // 1024 AS sst_kb, 3::BIGINT AS wal_kb, records + 10 AS total_records, 4096::BIGINT AS memtable_max_size FROM t""")
 def stats_all(spark, sf_dir):
     runs = user_runs(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("record_count"), F.sum(size_of()).alias("bytes"))
     return stats.stats_row(runs, 10, 2500, 4000, 4 << 20)
 
 
-@_query(LOG + "SELECT seq // 5000 AS run_id, least(1.0, count(*) / 4000.0)::DOUBLE AS fill FROM log GROUP BY ALL")
+@_query(LOG + "SELECT run_id, least(1.0, count(*) / 4000.0)::DOUBLE AS fill FROM log GROUP BY ALL")
 def fill_ratio(spark, sf_dir):
     runs = user_runs(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     return runs.select("run_id", stats.fill_ratio(F.col("n"), F.lit(4000.0)).alias("fill"))
@@ -255,18 +259,19 @@ def import_errors(spark, sf_dir):
     return parse_lines(p.select(F.col("p_name").alias("line"), F.col("p_partkey").alias("seq")))[1]
 
 
-@_query("SELECT c_mktsegment || ':' || i AS key, c_name AS value, i AS seq FROM customer, range(3) t(i)")
+@_query("SELECT c_mktsegment || ':' || i AS key, c_name AS value, c_custkey AS arrived, i AS at FROM customer, range(3) t(i)")
 def json_batch_put(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     record = lambda i: F.struct(F.concat("c_mktsegment", F.lit(f":{i}")).alias("key"), F.col("c_name").alias("value"))
-    return json_puts(c.select(F.to_json(F.struct(F.array(*(record(i) for i in range(3))).alias("records"))).alias("body")))
+    bodies = c.select("c_custkey", F.to_json(F.struct(F.array(*(record(i) for i in range(3))).alias("records"))).alias("body"))
+    return json_puts(bodies, order="c_custkey")
 
 
-@_query("SELECT 'user:' || u AS key, '' AS value, true AS is_deleted, (u % 2)::BIGINT AS seq FROM (SELECT DISTINCT user_id AS u FROM events)")
+@_query("SELECT 'user:' || u AS key, '' AS value, true AS is_deleted, u AS arrived, (u % 2)::BIGINT AS at FROM (SELECT DISTINCT user_id AS u FROM events)")
 def json_batch_delete(spark, sf_dir):
     u = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
     pairs = F.when(F.col("user_id") % 2 == 1, F.array(F.lit("-"), F.concat(F.lit("user:"), F.col("user_id").cast("string")))).otherwise(F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string"))))
-    return json_deletes(u.select(F.to_json(F.struct(pairs.alias("keys"))).alias("body"))).where("key != '-'")
+    return json_deletes(u.select("user_id", F.to_json(F.struct(pairs.alias("keys"))).alias("body")), order="user_id").where("key != '-'")
 
 
 @_query("""WITH f AS (SELECT event_type AS name, count(*) % 2 = 1 AS enabled, 'about ' || event_type AS description FROM events GROUP BY event_type)
@@ -365,19 +370,181 @@ def store_prefix(spark, sf_dir):
     return _text(_stored(spark, sf_dir).search_prefix("user:12"))
 
 
-@_query(LOG + ", r AS (SELECT *, row_number() OVER (PARTITION BY key, seq // 5000 ORDER BY seq DESC) AS rr FROM log) SELECT count(*) AS records, min(key) AS min_key, max(key) AS max_key FROM r WHERE rr = 1 GROUP BY seq // 5000")
+@_query(LOG + ", r AS (SELECT *, row_number() OVER (PARTITION BY key, run_id ORDER BY seq DESC) AS rr FROM log) SELECT count(*) AS records, min(key) AS min_key, max(key) AS max_key FROM r WHERE rr = 1 GROUP BY run_id")
 def store_run_meta(spark, sf_dir):
     return _stored(spark, sf_dir).run_meta().select(F.col("record_count").alias("records"), "min_key", "max_key")
 
 
+# -- through the store -------------------------------------------------------------------------------------------------
+
+
+@_query(LOG + "SELECT key, count(*) AS versions, min(value) AS value, bool_and(is_deleted) AS is_deleted FROM ranked WHERE r = 1 AND run_id = 1 GROUP BY key")
+def store_read_run(spark, sf_dir):
+    """All versions that one run holds: the newest a key, tombstones included."""
+    table = _stored(spark, sf_dir)
+    rows = table.read_run(table.runs[1]["run_id"])
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("versions"), F.min(lossy_text("value")).alias("value"), F.bool_and("is_deleted").alias("is_deleted"))
+
+
+@_query(LOG + "SELECT key, value, is_deleted FROM (SELECT *, row_number() OVER (ORDER BY seq DESC) AS n FROM log WHERE run_id = 0 AND key = 'user:11') WHERE n = 1")
+def store_run_get(spark, sf_dir):
+    """One key from the older run, whatever the newer one says."""
+    table = _stored(spark, sf_dir)
+    return table.get_from_run(table.runs[0]["run_id"], "user:11").select("key", lossy_text("value").alias("value"), "is_deleted")
+
+
+@_query(LOG + "SELECT w.key, l.key IS NOT NULL AS found, l.value FROM (SELECT DISTINCT 'user:' || c_custkey AS key FROM customer) w LEFT JOIN live l ON w.key = l.key")
+def store_multi_get(spark, sf_dir):
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
+    return _stored(spark, sf_dir).multi_get(wanted).withColumn("value", lossy_text("value"))
+
+
+@_query(LOG + "SELECT key, value FROM live WHERE key >= 'user:2' AND key < 'user:4'")
+def store_range(spark, sf_dir):
+    return _text(_stored(spark, sf_dir).range_scan("user:2", "user:4"))
+
+
+@_query(LOG + "SELECT key, value FROM live WHERE key > 'user:120' ORDER BY key LIMIT 10")
+def store_page(spark, sf_dir):
+    return _text(_stored(spark, sf_dir).page_after("user:120", 10))
+
+
+@_query(LOG + "SELECT key FROM live")
+def store_keys(spark, sf_dir):
+    return _stored(spark, sf_dir).keys()
+
+
+@_query(LOG + "SELECT key, value, is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key, run_id ORDER BY seq DESC) AS n FROM log) WHERE n = 1 AND key >= 'user:4'")
+def store_cursor(spark, sf_dir):
+    """Raw versions of all runs from a key on: one a key and run."""
+    return _stored(spark, sf_dir).cursor("user:4").select("key", lossy_text("value").alias("value"), "is_deleted")
+
+
+@_query(LOG + "SELECT 10::BIGINT AS mem_records, count(DISTINCT run_id) AS sst_files, count(DISTINCT (key, run_id)) AS sst_records, count(DISTINCT (key, run_id)) + 10 AS total_records FROM log")
+def store_stats(spark, sf_dir):
+    """Physical records of two runs, and ten buffered ones."""
+    table = _stored(spark, sf_dir)
+    table.set_batch((f"buffered:{i}", "x") for i in range(10))
+    return table.stats_all().select("mem_records", "sst_files", "sst_records", "total_records")
+
+
+NATIONS = "WITH n AS (SELECT 'nation:' || n_name AS key, n_nationkey AS i, n_regionkey AS r FROM nation) "
+
+
+@_query(NATIONS + "SELECT key, i || ' again' AS value FROM n WHERE r = 1 UNION ALL SELECT key, i::VARCHAR FROM n WHERE r NOT IN (0, 1)")
+def store_writes(spark, sf_dir):
+    """Single puts, deletes of present and absent keys, and puts again, all still in the buffer."""
+    return _text(_nation_writes(spark, sf_dir).scan())
+
+
+@_query(NATIONS + "SELECT key, i || ' again' AS value FROM n WHERE r = 1 UNION ALL SELECT key, i::VARCHAR FROM n WHERE r NOT IN (0, 1)")
+def store_replayed(spark, sf_dir):
+    """The same by another process, which has the log only."""
+    return _text(KVTable.open(spark, _nation_writes(spark, sf_dir).files.root).scan())
+
+
+@_query(NATIONS + "SELECT key, i || ' again' AS value FROM n WHERE r = 1 UNION ALL SELECT key, i::VARCHAR FROM n WHERE r NOT IN (0, 1)")
+def store_reopened(spark, sf_dir):
+    """The same after the buffer became a run and the log was cut."""
+    table = _nation_writes(spark, sf_dir)
+    table.flush()
+    return _text(KVTable.open(spark, table.files.root).scan())
+
+
+@_query("""WITH c AS (SELECT 'cust:' || c_custkey AS key, c_name AS name, c_mktsegment AS segment, c_custkey AS i FROM customer)
+SELECT key, CASE WHEN i % 2 = 0 THEN segment ELSE name END AS value FROM c WHERE i % 3 <> 0""")
+def store_three_runs(spark, sf_dir):
+    """All keys in the first run, every other one again in the second, and tombstones of every third in the newest."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("key"), "c_name", "c_mktsegment", "c_custkey")
+    table = _new_table(spark)
+    table.write(c.select("key", F.col("c_name").alias("value")))
+    table.write(c.where("c_custkey % 2 = 0").select("key", F.col("c_mktsegment").alias("value")))
+    table.write(c.where("c_custkey % 3 = 0").select("key", F.lit("").alias("value"), F.lit(True).alias("is_deleted")))
+    return _text(table.scan())
+
+
+@_query(NATIONS + "SELECT key, 'back' AS value FROM n WHERE i % 2 = 0")
+def store_delete_batch(spark, sf_dir):
+    """A run of all keys, deleted in one batch over it, half of them put again, compacted: no tombstone is left."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("nation:"), "n_name").alias("key"), F.col("n_nationkey").alias("i"))
+    table, held = _new_table(spark), n.collect()  # the 25 nations
+    table.write(n.select("key", F.lit("first").alias("value")))
+    table.delete_batch(r.key for r in held)
+    table.set_batch((r.key, "back") for r in held if r.i % 2 == 0)
+    compact(table)
+    return _text(table.log())
+
+
+@_query("""WITH l AS (SELECT trim(p_brand) AS key, p_type || '=' || p_partkey AS value, p_partkey % 2 AS file, p_partkey AS place FROM part)
+SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY file DESC, place DESC) AS r FROM l) WHERE r = 1""")
+def store_import(spark, sf_dir):
+    """Two files of ``key=value`` lines that share keys: the later file wins, and in a file the later line."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    table = _new_table(spark)
+    folder = table.files.at("import")
+    for i in range(2):
+        lines = p.where(F.col("p_partkey") % 2 == i).orderBy("p_partkey").select(F.concat(F.lit(" "), "p_brand", F.lit(" = "), "p_type", F.lit("="), F.col("p_partkey").cast("string")))
+        lines.write.text(f"{folder}/{i}")
+    records, _ = import_text(spark, f"{folder}/*")
+    table.write(records, order=F.col("seq"))
+    return _text(table.scan())
+
+
+@_query("SELECT 'flag ' || r_name AS name, r_regionkey % 2 = 0 AS enabled, CASE WHEN r_regionkey = 1 THEN 'new' ELSE 'about ' || r_name END AS description, 6::BIGINT AS version FROM region WHERE r_regionkey <> 3")
+def store_flags(spark, sf_dir):
+    """Flags set, changed and removed through the client, read back from the stored document."""
+    table, regions = _new_table(spark), spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()  # the five regions
+    client = features.FeatureClient(table, ttl_s=0)
+    flags = {f"flag {r.r_name}": {"enabled": r.r_regionkey % 2 == 0, "description": f"about {r.r_name}"} for r in regions}
+    table.put(features.KEY, json.dumps({"version": 3, "flags": flags}))
+    client.set_flag(f"flag {regions[1].r_name}", False, "new")
+    client.set_flag(f"flag {regions[2].r_name}", True)
+    client.remove_flag(f"flag {regions[3].r_name}")
+    return features.parse(table.snapshot(features.KEY, features.KEY))
+
+
+@_query(LOG + "SELECT key, value FROM live")
+def stream_into_store(spark, sf_dir):
+    """The user log as a stream, written batch by batch, each once."""
+    table = _new_table(spark)
+    log = user_log(spark, sf_dir)
+    for half in (F.col("seq") < user_cut(spark, sf_dir), F.col("seq") >= user_cut(spark, sf_dir)):  # files arrive in the order of the log
+        log.where(half).coalesce(1).write.mode("append").parquet(table.files.at("source"))
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(table.files.at("source"))
+    into_table(source, table, f"users {uuid4().hex}", table.files.at("checkpoint"), order=F.col("seq")).trigger(availableNow=True).start().awaitTermination()
+    return _text(table.scan())
+
+
+def _nation_writes(spark: SparkSession, sf_dir: str) -> KVTable:
+    table = _new_table(spark)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()  # the 25 nations
+    key = lambda r: f"nation:{r.n_name}"
+    for r in rows[:3]:
+        table.put(key(r), str(r.n_nationkey))
+    table.set_batch((key(r), str(r.n_nationkey)) for r in rows[3:])
+    table.delete("nation:never written")
+    table.delete_batch(key(r) for r in rows if r.n_regionkey <= 1)
+    table.set_batch((key(r), f"{r.n_nationkey} again") for r in rows if r.n_regionkey == 1)
+    return table
+
+
+def _new_table(spark: SparkSession) -> KVTable:
+    """An empty table in the folder that driver and executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="kvspark-table-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
+    return KVTable.open(spark, f"{root.rstrip('/')}/kvspark-table-{uuid4().hex}")
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> KVTable:
-    """The user log as a table of two runs in the shared folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="kvspark-table-")
-    table = KVTable.open(spark, f"{root.rstrip('/')}/kvspark-table-{uuid4().hex}")
-    runs = user_runs(spark, sf_dir)
-    ids = [r.run_id for r in runs.select("run_id").distinct().orderBy("run_id").collect()]  # one a stored run
-    for run_id in ids:
-        table.write(runs.where(F.col("run_id") == run_id).select("key", "value", "is_deleted", "seq"), order=F.col("seq"))
+    """The user log as a table of two runs, each of one half of its events."""
+    table, log, cut = _new_table(spark), user_log(spark, sf_dir), user_cut(spark, sf_dir)
+    for half in (F.col("seq") < cut, F.col("seq") >= cut):
+        table.write(log.where(half).select("key", "value", "is_deleted", "seq"), order=F.col("seq"))
     return table
 
 
