@@ -46,10 +46,24 @@ def _quietly_remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Folders of this process in the shared folder. Results of queries read them, so they stay until ``clear_scratch``.
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new full address in the shared folder."""
+    """A new full address in the shared folder, in a folder of its own."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/kvspark-{uuid.uuid4().hex}/{name}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if not _SCRATCH:
+        atexit.register(clear_scratch, spark)
+    _SCRATCH.add(full.rpartition("/")[0])
+    return full
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder; also done when the interpreter ends."""
+    while _SCRATCH:
+        _quietly_remove(spark, _SCRATCH.pop())
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -71,7 +85,9 @@ def unstage(*frames: DataFrame) -> None:
     """Delete staged tables whose consumers have been written."""
     for df in frames:
         if path := getattr(df, "_kvspark_path", None):
-            remove(df.sparkSession, path)
+            folder = path.rpartition("/")[0]
+            remove(df.sparkSession, folder)
+            _SCRATCH.discard(folder)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -6,6 +6,7 @@ import random
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -362,3 +363,14 @@ def test_staged_tables_are_in_the_shared_folder(spark, odd_docs):
     unstage(table)
     with pytest.raises(Exception, match="FILE|exist"):
         spark.read.parquet(where)
+
+
+def test_scratch_folders_can_be_cleared(spark, odd_docs, monkeypatch):
+    from kvspark.llm import common
+
+    monkeypatch.setattr(common, "_SCRATCH", {"already registered"})
+    table = common.stage(odd_docs.select("doc_id"), "some")
+    folder = Path(table.inputFiles()[0].removeprefix("file:").replace("///", "/")).parents[1]
+    assert folder.is_dir() and len(common._SCRATCH) == 2
+    common.clear_scratch(spark)
+    assert not folder.exists() and not common._SCRATCH

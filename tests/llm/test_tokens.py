@@ -161,11 +161,11 @@ def test_unigram_models(tmp_path):
         assert encoder.decode(ids, offsets)[0].as_py() == encoder.reference.decode(ids.tolist())
 
 
-def test_orc_files_hold_run_lengths_indexes_and_bloom_filters(spark, tmp_path, odd_docs):
+def test_orc_files_hold_run_lengths_indexes_and_bloom_filters(spark, tmp_path):
     """What the format promises, as the ORC library's own reader finds it in the files."""
     docs = spark.range(9000).selectExpr("id * 3 AS doc_id", "repeat('word ', CAST(id % 7 AS int)) AS text")
     path = f"file://{tmp_path}/t.orc"
-    token_orc.write_tokens(docs, path, default_vocabulary(), end_id=1, stripe_bytes=64 << 10, row_group=2000)
+    token_orc.write_tokens(docs, path, tokens.default_vocabulary(), end_id=1, stripe_bytes=64 << 10, row_group=2000)
     jvm = spark._jvm
     orc, at = jvm.org.apache.orc, jvm.org.apache.hadoop.fs.Path
     files = sorted(p for p in (tmp_path / "t.orc").iterdir() if p.suffix == ".orc")
