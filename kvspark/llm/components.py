@@ -3,6 +3,9 @@
 Nothing is collected: each round reads and writes edge tables in the shared folder; the driver sees two checksums.
 The minimum of each node is its own written table, so that both sides of the join below are plain shuffles and a
 node with very many edges is split by adaptive skew handling.
+
+Edge cases: repeated edges, loops and edges in either direction count once; edges with a null end join nothing; nodes
+without an edge have no row; no edges give no rows.
 """
 
 from __future__ import annotations

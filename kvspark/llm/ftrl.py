@@ -7,7 +7,8 @@ short list of (bucket, weight) that any task can hold: at most ``2**BITS`` entri
 
 Edge cases: a null or empty text has no features and scores the bias alone; labels that are null or of other values
 than 0 and 1 are not learnt from; a doc_id labelled twice counts by its highest label; without both labels in the
-training rows the score is the training rate of label 1 (0.5 without any row); a doc_id on several rows is learnt from
+training rows the score is the training rate of label 1, within 0.001 and 0.999 (0.001 without any row: nothing is known
+to be toxic); a doc_id on several rows is learnt from
 once, and each row is scored, repeated ones alike; an empty table has no scores; columns other than doc_id and text are
 ignored.
 """
@@ -79,7 +80,7 @@ class Ftrl:
 def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 6) -> dict:
     """Fit on (distinct buckets, label) rows; returns buckets, weights and bias of the sparse model."""
     labels = np.array([y for _, y in rows])
-    rate = labels.mean() if len(rows) else 0.5
+    rate = labels.mean() if len(rows) else 0.0
     if not len(rows) or rate in (0.0, 1.0):
         rate = min(max(rate, 1e-3), 1 - 1e-3)
         return {"buckets": np.empty(0, np.int64), "weights": np.empty(0), "bias": float(np.log(rate / (1 - rate)))}

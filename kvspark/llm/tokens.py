@@ -3,6 +3,9 @@
 A tokenizer that drops white space before its merges encodes a text as the concatenation of the encodings of
 its words. Words repeat, so each distinct word of a batch is encoded once and the ids are gathered by offset.
 ``WordEncoder`` proves the property on probes when it loads; any other tokenizer encodes whole texts.
+
+Edge cases: null and empty texts, and texts of white space only, have no ids; words of more than 64 characters are encoded
+whole and not remembered; no texts give no ids.
 """
 
 from __future__ import annotations

@@ -147,6 +147,14 @@ def test_stages_take_odd_tables(spark, tmp_path, odd_docs, odd_rows, clashing_do
         assert kept.columns == clashing_docs.columns and not Counter((r.doc_id, r.text) for r in rows) - Counter(odd_rows)
 
 
+def test_without_labels_classifiers_keep_all(spark, tmp_path, odd_docs, odd_rows):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("toxicity", "quality"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, odd_docs, str(tmp_path)).count() == len(odd_rows)
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path, no_docs):
     import corpus_pipeline
 
