@@ -2,6 +2,13 @@
 
 Each stage is written as Parquet in the shared folder and read back as the next one's documents. Counted as part of
 the training-data subpackage.
+
+Edge cases, the same in all stages: a null text is read as an empty one and stays null in what is kept; rows without
+doc_id are judged by their text, and the near-duplicate stage, which names documents by id, keeps them; repeated rows are
+scored each, and leave one after the near-duplicate stage; rows that share a doc_id are judged each; ties go to the
+smallest doc_id; without both labels among the documents that are left, a classifier scores the rate of label 1; without
+any label neither removes a document; columns other than doc_id and text, whatever their names,
+travel along up to packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
