@@ -112,16 +112,19 @@ def neighbour_report(docs: DataFrame) -> DataFrame:
     lenders = named.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else named  # the smallest text stands for an id
     prints = stage(sketches(lenders.select("doc_id", chars, "text"), "text", "sketch").drop("text"), "prints")
     longest = named.groupBy("doc_id").agg(F.max(F.length("text").cast("long")).alias("n_chars")) if repeated else prints.select("doc_id", "n_chars")
-    # how many code points each document borrows at most of the next, and what is known of both
-    after = prints.select(F.col("doc_id").alias("next_id"), F.col("sketch").alias("next_sketch"))
-    loans = longest.join(next_ids(prints.select("doc_id")), "doc_id").join(after, "next_id").join(prints.select("doc_id", "sketch"), "doc_id")
-    loans = stage(loans.select("doc_id", "next_id", "sketch", "next_sketch", F.floor(F.col("n_chars") / 2).cast("int").alias("most")), "loans")
-    # both joins read one exchange of the texts; sketches are made behind it, as one with lambdas in it is not reused
-    lender, owner = lenders.alias("lender"), named.alias("owner")
-    lent = loans.join(lender, F.col("next_id") == F.col("lender.doc_id")).select(loans.doc_id, "sketch", "next_sketch", F.substr("lender.text", F.lit(1), F.col("most")).alias("loan"))
-    both = lent.alias("lent").join(owner, F.col("lent.doc_id") == F.col("owner.doc_id")).select(F.col("owner.doc_id").alias("doc_id"), "sketch", "next_sketch", "loan", F.col("owner.text").alias("text"))
+    # how many code points each document borrows at most of the next
+    loans = longest.join(next_ids(prints.select("doc_id")), "doc_id").select("doc_id", "next_id", F.floor(F.col("n_chars") / 2).cast("int").alias("most"))
+    loans = stage(loans, "loans")
+    # both sides read one exchange of the texts and one of the sketches, made of tables without lambdas, so that it is reused
+    lender, owner, known = lenders.alias("lender"), named.alias("owner"), prints.select("doc_id", "sketch")
+    lent = loans.join(lender, F.col("next_id") == F.col("lender.doc_id")).join(known.alias("known"), F.col("next_id") == F.col("known.doc_id"))
+    lent = lent.select(loans.doc_id, F.col("known.sketch").alias("next_sketch"), F.substr("lender.text", F.lit(1), F.col("most")).alias("loan"))
+    both = lent.alias("lent").join(owner, F.col("lent.doc_id") == F.col("owner.doc_id"))
     if repeated:
-        both = sketches(both.drop("sketch"), "text", "sketch")
+        both = sketches(both.select(F.col("owner.doc_id").alias("doc_id"), "next_sketch", "loan", F.col("owner.text").alias("text")), "text", "sketch")
+    else:
+        both = both.join(known.alias("own"), F.col("lent.doc_id") == F.col("own.doc_id"))
+        both = both.select(F.col("owner.doc_id").alias("doc_id"), "next_sketch", "loan", F.col("owner.text").alias("text"), F.col("own.sketch").alias("sketch"))
     nameless = one.where("doc_id is null").select("doc_id", F.lit(None).cast("array<int>").alias("next_sketch"), F.lit("").alias("loan"), "text")
     out = both.unionByName(sketches(nameless, "text", "sketch"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
